@@ -231,9 +231,10 @@ def _exact_sql(where: str = "") -> str:
     SELECT kind, name, metric, CAST(n AS BIGINT) AS count, min, {outer}, max, mean FROM s"""
 
 
-@query("quantiles_exact", _exact_sql())
+@query("quantiles_exact", _exact_sql("WHERE kind <> 'prefix'"))
 def quantiles_exact(spark, sf_dir):
-    out = ranks.exact_report(files(spark, sf_dir))
+    """Exact reports are made for users and groups."""
+    out = ranks.exact_report(files(spark, sf_dir), ("usr", "grp"))
     return out.withColumn("mean", F.round("mean", 4))
 
 

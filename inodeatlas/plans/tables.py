@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan that has fewer splits than the cluster has cores.
+
+    A table of many files already has enough splits and is left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def epoch(c: str) -> Column:
     """Whole seconds since 1970, the same for both kinds of timestamp column."""
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))")
@@ -19,8 +28,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows: one file per line item, in five directory levels."""
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
-        "l_returnflag", "l_linestatus", epoch("l_shipdate").alias("atime"),
+        "l_returnflag", "l_linestatus", "l_shipdate",
     )
+    line = spread(line).withColumn("atime", epoch("l_shipdate"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", epoch("o_orderdate").alias("ctime")
     )

@@ -18,9 +18,9 @@ def tag_gpfs(raw: DataFrame, payload: str = "value", offset: str = "offset") ->
     """
     body = F.col(payload).cast("string")
     kept = [c for c in raw.columns if c not in (payload, offset)]
-    parsed = raw.select(
-        *kept, F.col(offset).alias("eid"), body.alias("_body"), F.from_json(body, GPFS_MESSAGE).alias("m")
-    )
+    # generated, not projected: later filters must not repeat the JSON parse
+    message = F.explode(F.array(F.from_json(body, GPFS_MESSAGE))).alias("m")
+    parsed = raw.select(*kept, F.col(offset).alias("eid"), body.alias("_body"), message)
     tokens = F.filter(F.split(text.strip("m.event"), r"\s+"), lambda t: t != "")
     named = F.filter(tokens, lambda t: t != "IN_ISDIR")
     first = F.get(named, F.lit(0))
@@ -71,9 +71,8 @@ def tag_lustre(lines: DataFrame) -> DataFrame:
     """
     line = text.strip("value")
     kept = [c for c in lines.columns if c != "value"]
-    cut = lines.filter(line != "").select(
-        *kept, F.col("value").alias("line"), F.split(line, r"\s+").alias("_f")
-    )
+    fields = F.explode(F.array(F.split(line, r"\s+"))).alias("_f")
+    cut = lines.filter(line != "").select(*kept, F.col("value").alias("line"), fields)
     at = lambda i: F.get(F.col("_f"), F.lit(i))
     n = F.size("_f")
     code = event_code(at(1), "fid")

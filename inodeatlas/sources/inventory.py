@@ -21,6 +21,16 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.load(path)
 
 
+def split_once(lines: DataFrame, cells: Column) -> DataFrame:
+    """Add the split cells as a generated column.
+
+    A filter on a projected column is pushed below the projection and would repeat the
+    split for every field it tests; it stays above a generator.
+    """
+    kept = [c for c in lines.columns if c != "value"]
+    return lines.select(*kept, F.explode(F.array(cells)).alias("_cells"))
+
+
 def tag_inventory(lines: DataFrame, layout: str = "nine") -> DataFrame:
     """Parse snapshot lines in one pass.
 
@@ -29,7 +39,7 @@ def tag_inventory(lines: DataFrame, layout: str = "nine") -> DataFrame:
     """
     names = SNAPSHOT_COLUMNS[layout]
     cells = F.split(text.strip("value"), ",", len(names))
-    raw = lines.select(F.col("value").alias("line"), cells.alias("_cells"))
+    raw = split_once(lines.select(F.col("value").alias("line"), "value"), cells)
     field = {c: F.get(F.col("_cells"), F.lit(i)) for i, c in enumerate(names)}
     typed: list[Column] = []
     for f in INVENTORY.fields:
@@ -103,13 +113,13 @@ def tag_policy_listing(lines: DataFrame, mount: str = "") -> DataFrame:
     # the length limit counts the line break that the text reader has removed
     line = F.col("value")
     cells = F.split(text.strip(line), " ", POLICY_COLUMNS)
-    cut = lines.select(line.alias("line"), cells.alias("_c"))
-    at = lambda i: F.get(F.col("_c"), F.lit(i))
+    cut = split_once(lines.select(line.alias("line"), "value"), cells)
+    at = lambda i: F.get(F.col("_cells"), F.lit(i))
     letter = F.substring(at(11), 1, 1)
     number = lambda i: text.strict_long(at(i))
     parsed = cut.select(
         "line",
-        F.size("_c").alias("_n"),
+        F.size("_cells").alias("_n"),
         letter.alias("_letter"),
         F.when(letter == "-", "f").when(letter == "l", "l").alias("type"),
         modes.text_to_mode(at(11)).alias("mode"),
