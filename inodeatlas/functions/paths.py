@@ -66,14 +66,6 @@ def ancestors(prefix: Column | str, lo: int, hi: int) -> Column:
     return F.array_compact(F.array(*levels))
 
 
-def folders_above(path: Column | str) -> Column:
-    """Every directory above ``path`` except the root, whatever its depth."""
-    parent = parent_path(path)
-    levels = F.sequence(F.lit(1), _slashes(parent))
-    cut = F.transform(levels, lambda k: F.call_function("substring_index", parent, F.lit("/"), k + 1))
-    return F.when(parent.isin("/", "."), F.array().cast("array<string>")).otherwise(cut)
-
-
 def base_name(path: Column | str) -> Column:
     return F.substring_index(F.rtrim(_col(path), F.lit("/")), "/", -1)
 

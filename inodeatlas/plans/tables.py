@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -192,11 +192,8 @@ def lustre_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rename = F.col("event_type") == "08RENME"
     structural = F.col("event_type").isin("01CREAT", "06UNLNK", "08RENME")
     # the parent an object had before: that of its previous structural event
-    from pyspark.sql import Window
-
-    before = F.lag(F.when(structural, F.col("parent")), ignoreNulls=True).over(
-        Window.partitionBy("fid").orderBy("eid")
-    )
+    earlier = Window.partitionBy("fid").orderBy("eid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(structural, F.col("parent")), ignorenulls=True).over(earlier)
     return base.select("*", before.alias("_before")).select(
         "eid",
         "batch_id",

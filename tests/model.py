@@ -36,14 +36,12 @@ class Model:
         self.profile, self.resolver = profile, resolver or {}
         self.nodes, self.kids, self.told = {}, {}, set()
         self.touched, self.gone = set(), []
+        self.claim = {}
 
     def owner(self, path):
-        """Latest object that took the path and still has it."""
-        best = None
-        for fid, n in self.nodes.items():
-            if n["path"] == path and (best is None or n["taken"] > self.nodes[best]["taken"]):
-                best = fid
-        return best
+        """Last object that took the path, when it still has it."""
+        fid = self.claim.get(path)
+        return fid if fid in self.nodes and self.nodes[fid]["path"] == path else None
 
     def remove(self, fid, parent):
         node = self.nodes.get(fid)
@@ -69,6 +67,7 @@ class Model:
                 continue
             base = self.nodes[top]["path"]
             node["path"] = posixpath.join(base, node["name"]) if base else None
+            self.claim[node["path"]] = kid
             self.touched.add(kid)
             if node["is_dir"]:
                 self.move_below(kid)
@@ -86,9 +85,10 @@ class Model:
         if kind == "IN_CREATE":
             parent = self.owner(posixpath.dirname(path))
             self.nodes[fid] = dict(
-                parent=parent, name=posixpath.basename(path), path=path, is_dir=ev["is_dir"], taken=tick,
+                parent=parent, name=posixpath.basename(path), path=path, is_dir=ev["is_dir"],
                 stat=stat, owner={c: ev[c] for c in ("permissions", "uid", "gid")},
             )
+            self.claim[path] = fid
             if ev["is_dir"]:
                 self.kids.setdefault(fid, set())
             if parent:
@@ -106,7 +106,8 @@ class Model:
             parent = self.owner(posixpath.dirname(path))
             if parent:
                 self.kids.setdefault(parent, set()).add(fid)
-            node.update(parent=parent, name=posixpath.basename(path), path=path, taken=tick, stat=stat)
+            node.update(parent=parent, name=posixpath.basename(path), path=path, stat=stat)
+            self.claim[path] = fid
             self.touched.add(fid)
             if node["is_dir"]:
                 self.move_below(fid)
@@ -122,12 +123,12 @@ class Model:
                 if up not in self.resolver:
                     return
                 path = self.resolver[up]
-                parent = dict(parent=None, name=posixpath.basename(path), path=path, is_dir=True, taken=tick)
+                parent = dict(parent=None, name=posixpath.basename(path), path=path, is_dir=True)
                 self.nodes[up], self.kids[up] = parent, set()
             self.touched |= {up, fid}
             self.nodes[fid] = dict(
                 parent=up, name=ev["name"], path=posixpath.join(parent["path"], ev["name"]),
-                is_dir=kind == "02MKDIR", taken=tick,
+                is_dir=kind == "02MKDIR",
             )
             if kind == "02MKDIR":
                 self.kids[fid] = set()
