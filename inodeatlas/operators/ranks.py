@@ -70,7 +70,7 @@ def cumulative(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _value_at(index):
+def value_at(index):
     """Value at a zero-based position, as an aggregate over the cumulative table."""
     return F.max(
         F.when(
@@ -88,8 +88,8 @@ def exact_quantiles(
     for label, q in quantiles.items():
         at = F.lit(q) * n1
         aggs += [
-            _value_at(F.floor(at)).alias(f"_{label}_a"),
-            _value_at(F.least(F.floor(at) + 1, n1)).alias(f"_{label}_b"),
+            value_at(F.floor(at)).alias(f"_{label}_a"),
+            value_at(F.least(F.floor(at) + 1, n1)).alias(f"_{label}_b"),
         ]
     v = F.col("value")
     grouped = ranked.groupBy(*keys).agg(
@@ -133,7 +133,7 @@ def positions(
     n1 = F.col("n") - 1
     return ranked.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        *[_value_at(F.floor(F.lit(q) * n1)).alias(label) for label, q in quantiles.items()],
+        *[value_at(F.floor(F.lit(q) * n1)).alias(label) for label, q in quantiles.items()],
     )
 
 

@@ -18,6 +18,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, tuple]:
-    from . import changes, counting, snapshot  # noqa: F401
+    from . import accuracy, changes, counting, sketches, snapshot  # noqa: F401
 
     return REGISTRY
