@@ -283,14 +283,12 @@ def fid_feed_stat(spark, sf_dir):
     """Only two files in three have attributes at emission; the others give no update."""
     ev = table(spark, sf_dir, "events")
     users = ev.select("user_id").distinct().filter(F.col("user_id") % 3 != 0)
-    dirs = resolver(spark, sf_dir).select(F.col("path").alias("dir"))
     # every place where a listed file may be
     spots = ev.select("user_id", F.get_json_object("props", "$.k").alias("k")).distinct().join(users, "user_id")
     stat = spots.select(
         F.concat(F.lit("/m/d"), F.col("k"), F.lit("/f"), F.col("user_id").cast("string")).alias("path"),
         F.col("user_id").alias("size"),
     )
-    del dirs
     return _fid_feed(spark, sf_dir, stat)[1].select("flush", "op", "fid", "path")
 
 
@@ -330,7 +328,7 @@ def resolve(spark, sf_dir):
     SELECT 'user' AS kind, CAST(uid AS VARCHAR) AS name, CAST(count(*) AS BIGINT) AS count,
       CAST(sum(size) AS BIGINT) AS size_sum, max(mtime) AS mtime_max FROM live GROUP BY ALL
     UNION ALL SELECT 'prefix', '/' || split_part(path, '/', 2), CAST(count(*) AS BIGINT), CAST(sum(size) AS BIGINT),
-      max(mtime) FROM live GROUP BY ALL""".replace("feed AS (WITH ", "feed AS (WITH "),
+      max(mtime) FROM live GROUP BY ALL""",
 )
 def refreshed(spark, sf_dir):
     """Summaries after three flushes, brought up to date with the rest of the feed."""

@@ -123,7 +123,12 @@ long AS (
 
 
 def gpfs_events(spark: SparkSession, sf_dir: str, crowded: bool = False) -> DataFrame:
-    """Path-based change log: one event per row of ``events``.
+    """Path-based change log: one event per row of ``events``."""
+    return gpfs_rows(table(spark, sf_dir, "events"), crowded)
+
+
+def gpfs_rows(events: DataFrame, crowded: bool = False) -> DataFrame:
+    """Event rows as path-based changes.
 
     ``crowded`` lets several inodes share a path, so that renames collide.
     """
@@ -138,7 +143,7 @@ def gpfs_events(spark: SparkSession, sf_dir: str, crowded: bool = False) -> Data
     folder = F.get_json_object("props", "$.k")
     owner = F.pmod("user_id", F.lit(10)) if crowded else F.col("user_id")
     at = epoch("ts")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("eid"),
         F.floor(F.col("event_id") / 1000).cast("long").alias("batch_id"),
         (F.col("user_id") + 1).alias("inode"),
