@@ -1,0 +1,150 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inodeatlas.operators import accuracy, arrow_sketches, counts, dd, packing, ranks
+from inodeatlas.operators.documents import aggregate_documents, receipts_to_report
+from inodeatlas.operators.quantiles import quantile_report
+from inodeatlas.schemas import INVENTORY, QUANTILES
+
+
+@pytest.fixture(scope="module")
+def inventory(spark):
+    """One user owns most files; sizes span many orders of magnitude, zero and copies included."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(6000):
+        uid = 1 if rng.random() < 0.7 else rng.randint(2, 40)
+        size = 0 if rng.random() < 0.1 else int(rng.lognormvariate(9, 4))
+        at = 1_600_000_000 + rng.randint(0, 50) * 86400
+        rows.append(("f", 33188, uid, uid % 3, size, at, at - 5, -rng.randint(0, 9), None, f"/a/b{uid}/c/f{i}"))
+    return spark.createDataFrame(rows, INVENTORY).repartition(6).cache()
+
+
+def groups(inventory, metric):
+    out = {}
+    for r in inventory.select("uid", metric).collect():
+        out.setdefault(str(r.uid), []).append(r[metric])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("metric", ["size", "atime", "mtime"])
+def test_exact_quantiles_match_numpy(inventory, metric):
+    got = {r.name: r for r in quantile_report(inventory, "exact", ("usr",)).filter(F.col("metric") == metric).collect()}
+    for name, v in groups(inventory, metric).items():
+        for label, q in QUANTILES.items():
+            assert got[name][label] == int(np.percentile(v, q * 100))
+        assert got[name]["mean"] == pytest.approx(np.mean(v))
+
+
+@pytest.mark.parametrize("metric", ["size", "atime", "mtime"])
+def test_dd_is_close_to_the_exact_value(inventory, metric):
+    got = {r.name: r for r in quantile_report(inventory, "dd", ("usr",)).filter(F.col("metric") == metric).collect()}
+    for name, v in groups(inventory, metric).items():
+        for label, q in QUANTILES.items():
+            exact = v[int(q * (len(v) - 1))]
+            assert abs(got[name][label] - exact) <= abs(exact) * dd.ALPHA + 1
+
+
+@pytest.mark.parametrize("mode", ["kll", "td", "req"])
+def test_sketches_keep_their_rank_error(inventory, mode):
+    keys = ["kind", "name", "metric"]
+    ranked = ranks.cumulative(ranks.key_frequencies(inventory, ("usr", "dir"), 0, 4), keys)
+    checked = accuracy.within_rank_bounds(ranked, quantile_report(inventory, mode, ("usr", "dir"), 0, 4), keys, 0.04)
+    rows = checked.collect()
+    assert len(rows) == 4 * (40 + 42 + 40)  # users; the root, /a, /a/b*; /a/b*/c
+    assert all(r.within for r in rows)
+
+
+def test_req_is_finest_at_the_top(spark):
+    """High ranks carry a relative guarantee."""
+    rows = [("f", 1, 1, 1, (i * 7919) % 200000, 0, 0, 0, None, f"/a/f{i}") for i in range(200000)]
+    inv = spark.createDataFrame(rows, INVENTORY).repartition(4)
+    report = quantile_report(inv, "req", ("usr",)).filter("metric = 'size'").collect()[0]
+    assert abs(report.p99 - 198000) < 400
+    assert abs(report.p50 - 100000) < 6000
+    sketch = arrow_sketches.merge_sketches(arrow_sketches.partial_sketches(inv, "req", ("usr",)), "req")
+    row = sketch.filter("metric = 0").collect()[0]
+    assert len(row["values"]) < 2000 and sum(row.weights) == pytest.approx(200000, rel=0.02)
+
+
+def test_ranks_of_copies_are_whole(spark):
+    """A value with more copies than one chunk keeps every rank once."""
+    inv = spark.range(250_000).select(
+        F.lit(1).alias("gid"), F.when(F.col("id") < 240_000, 5).otherwise(F.col("id")).alias("size")
+    )
+    out = ranks.rank_values(inv, "gid", ["size"])
+    got = out.agg(F.count("*"), F.count_distinct("rank_1based"), F.min("rank_1based"), F.max("rank_1based")).collect()[0]
+    assert tuple(got) == (250_000, 250_000, 1, 250_000)
+
+
+def test_negative_and_wide_values(spark):
+    values = [-(2**45), -(2**21), -5, 0, 0, 7, 2**20, 2**41, 2**41 + 1, 2**62]
+    df = spark.createDataFrame([("g", v) for v in values], "k string, value long")
+    out = ranks.cumulative(ranks.frequencies(df, ["k"]), ["k"]).collect()
+    assert {(r.value, r.below) for r in out} == {(v, sum(w < v for w in values)) for v in values}
+    assert {r.n for r in out} == {len(values)}
+
+
+def test_bucket_edges(spark):
+    df = spark.createDataFrame([(v,) for v in [1, 2, 3, 100, 10**12, 2**62, 0, -1, -100]], "value long")
+    rows = df.select("value", dd.bucket_value(dd.bucket_of("value")).alias("b")).collect()
+    assert all(abs(r.b - r.value) <= abs(r.value) * dd.ALPHA * 1.0001 for r in rows)
+
+
+def test_packing(spark):
+    docs = spark.createDataFrame(
+        [(lane, f"s{i}", "x" * n) for lane in (0, 1) for i, n in enumerate([3, 4, 5, 1])],
+        "lane long, subject string, document string",
+    )
+    rows = packing.pack_documents(docs, 6).orderBy("lane", "subject").collect()
+    assert [r.batch for r in rows] == [0, 0, 1, 1] * 2
+    totals = packing.batch_totals(packing.pack_documents(docs, 6)).filter("lane = 0").orderBy("batch").collect()
+    assert [(r.documents, r["bytes"]) for r in totals] == [(2, 7), (2, 6)]
+
+
+def test_packing_is_greedy(spark):
+    rng = random.Random(5)
+    sizes = [rng.randint(0, 40) for _ in range(3000)]
+    docs = spark.createDataFrame(
+        [(i % 3, f"{i:06d}", "x" * n) for i, n in enumerate(sizes)], "lane long, subject string, document string"
+    )
+    got = {(r.lane, r.subject): r.batch for r in packing.pack_documents(docs, 100).collect()}
+    for lane in range(3):
+        batch = held = 0
+        for i in range(lane, 3000, 3):
+            assert got[(lane, f"{i:06d}")] == batch
+            held += sizes[i]
+            if held >= 100:
+                batch, held = batch + 1, 0
+
+
+def test_receipts_become_a_report(spark, inventory):
+    from inodeatlas.sinks.documents import write_documents
+
+    report = dd.dd_report(inventory, ("usr", "grp"))
+    docs = aggregate_documents(report, ["g"])
+    texts = docs.select(
+        F.lit(0).cast("long").alias("lane"), "subject",
+        F.to_json(F.struct("subject", "visible_to", "content")).alias("document"),
+    )
+    receipts = write_documents(packing.pack_documents(texts, 1))  # one document per batch
+    back = receipts_to_report(receipts, order="batch")
+    want = report.drop("sum").select(*back.columns)
+    assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+
+
+def test_worker_rollup(spark):
+    rows = [("prefix", "/a/b/c/d", 63, 5), ("prefix", "/a/b", 62, 2), ("user", "1", 63, 7)]
+    df = spark.createDataFrame(rows, "kind string, name string, worker int, count long")
+    got = {(r.kind, r.name, r.worker): r["count"] for r in counts.shrink_workers(counts.rollup_prefixes(df, 1, 5)).collect()}
+    assert got == {
+        ("prefix", "/a", 63): 5, ("prefix", "/a", 62): 2, ("prefix", "/a/b", 31): 7,
+        ("prefix", "/a/b/c", 15): 5, ("prefix", "/a/b/c/d", 7): 5, ("user", "1", 63): 7,
+    }
+    bare = spark.createDataFrame([("user", "9", 1)], "kind string, name string, count long")
+    stated = df.groupBy("kind", "name").agg(F.sum("count").alias("count"))
+    odd = counts.complete_keys(bare, stated, ["kind", "name"]).collect()
+    assert [(r.name, r.expected) for r in odd] == [("9", None)]
