@@ -57,13 +57,15 @@ def depth(prefix: Column | str) -> Column:
     return F.when(p == "/", F.lit(0)).otherwise(_slashes(p))
 
 
+def ancestor_at(prefix: Column | str, level: int) -> Column:
+    """The directory of that level on the way to ``prefix``, itself included; null below it."""
+    p = _col(prefix)
+    return F.lit("/") if level <= 0 else F.when(depth(p) >= level, _cut(p, level))
+
+
 def ancestors(prefix: Column | str, lo: int, hi: int) -> Column:
     """A directory prefix and the prefixes above it, levels in ``[lo, hi)``."""
-    p = _col(prefix)
-    levels = [
-        F.lit("/") if k <= 0 else F.when(depth(p) >= k, _cut(p, k)) for k in range(lo, hi)
-    ]
-    return F.array_compact(F.array(*levels))
+    return F.array_compact(F.array(*[ancestor_at(prefix, k) for k in range(lo, hi)]))
 
 
 def base_name(path: Column | str) -> Column:

@@ -59,17 +59,20 @@ def explode_dimensions(
         for level in range(lo, hi):
             narrowed = None if bucket is None else paths.shrink_worker(bucket, F.lit(level))
             keys.append(_key("dir", paths.prefix_at("path", level), narrowed))
-    exploded = inv.select(F.explode(F.array_compact(F.array(*keys))).alias("_k"), *keep)
-    return exploded.select("_k.*", *keep)
+    # nulls are filtered after the generator: an array filter would leave generated code
+    exploded = inv.select(F.explode(F.array(*keys)).alias("_k"), *keep)
+    return exploded.filter(F.col("_k").isNotNull()).select("_k.*", *keep)
 
 
 def spread_to_ancestors(df: DataFrame, lo: int, hi: int) -> DataFrame:
     """Repeat every directory row for the prefixes above it; other kinds pass through."""
-    up = F.when(F.col("kind") == "prefix", paths.ancestors("name", lo, hi)).otherwise(
-        F.array("name")
-    )
+    folder = F.col("kind") == "prefix"
+    # the first slot also serves the kinds that pass through
+    slots = [F.when(folder, paths.ancestor_at("name", lo)).otherwise(F.col("name"))]
+    slots += [F.when(folder, paths.ancestor_at("name", k)) for k in range(lo + 1, hi)]
     rest = [c for c in df.columns if c not in ("kind", "name")]
-    return df.select("kind", F.explode(up).alias("name"), *rest)
+    spread = df.select("kind", F.explode(F.array(*slots)).alias("name"), *rest)
+    return spread.filter(F.col("name").isNotNull())
 
 
 def long_metrics(df: DataFrame, metrics: Sequence[str], keep: Sequence[str]) -> DataFrame:

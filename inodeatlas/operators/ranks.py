@@ -39,6 +39,7 @@ def key_frequencies(
 def cumulative(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``below`` (rows with a smaller value) and ``n`` (rows of the group)."""
     keys = list(keys)
+    rest = [c for c in freq.columns if c not in (*keys, "value", "cnt")]
     paged = freq.select(
         "*",
         F.shiftright("value", PAGE_BITS).alias("_p1"),
@@ -64,9 +65,9 @@ def cumulative(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, "_p1", (F.col("_o2") + before("_c1", chapter)).alias("_o1"), "n"
     )
     page = Window.partitionBy(*keys, "_p1").orderBy("value")
-    inside = paged.select(*keys, "_p1", "value", "cnt", before("cnt", page).alias("_o0"))
+    inside = paged.select(*keys, "_p1", "value", "cnt", *rest, before("cnt", page).alias("_o0"))
     return inside.join(pages, [*keys, "_p1"]).select(
-        *keys, "value", "cnt", (F.col("_o1") + F.col("_o0")).alias("below"), "n"
+        *keys, "value", "cnt", *rest, (F.col("_o1") + F.col("_o0")).alias("below"), "n"
     )
 
 
