@@ -18,7 +18,7 @@ def spark():
         "local[8]",
         spark__ui__enabled="false",
         spark__driver__memory="6g",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
     )
     session.sparkContext.setLogLevel("ERROR")
     return session

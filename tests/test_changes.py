@@ -213,7 +213,7 @@ def base_resolver(spark, profile):
     "profile, seed, every, reduce", [("inotify", 3, 2, False), ("inotify", 8, 1, True), ("fid", 4, 3, True), ("fid", 5, 1, False)]
 )
 def test_feed_matches_the_model(spark, profile, seed, every, reduce):
-    events = model.history(seed, 220, profile)
+    events = model.history(seed, 140, profile)
     ev = reduction.reduce_events(frame(spark, events, profile), profile, reduce)
     _, out = namespace.apply_events(namespace.empty_state(spark), ev, profile, base_resolver(spark, profile), every)
     assert as_rows(out, profile) == want_rows(events, profile, reduce, every)
@@ -233,10 +233,10 @@ def test_shared_paths_match_the_model(spark):
 @pytest.mark.parametrize("profile", ["inotify", "fid"])
 def test_stream_equals_replay(spark, tmp_path, profile):
     """Files of events, one per micro-batch, give the feed of the whole history."""
-    events = model.history(21, 160, profile, batch=40)
+    events = model.history(21, 120, profile, batch=40)
     df = frame(spark, events, profile)
     inbox = tmp_path / "in"
-    for b in range(4):
+    for b in range(3):
         df.filter(F.col("batch_id") == b).drop("batch_id").coalesce(1).write.mode("append").parquet(str(inbox))
     schema = df.drop("batch_id").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
