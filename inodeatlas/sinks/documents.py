@@ -7,6 +7,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+# Names in requests and receipts.
+LIST_TYPE = "GMetaList"
+LIST_FIELD = "gmeta"
+
 RECEIPTS = "lane long, batch long, documents long, bytes long, value string"
 
 
@@ -29,7 +33,7 @@ def failure_record(exc: Exception) -> str:
 def write_documents(
     packed: DataFrame,
     sender: Callable[[dict], Any] | None = None,
-    list_type: str = "GMetaList",
+    list_type: str = LIST_TYPE,
 ) -> DataFrame:
     """Send each packed batch and return its receipt (``value`` is JSON text).
 
@@ -45,7 +49,7 @@ def write_documents(
         n = len(docs)
         out = {"mock": sender is None}
         out["msg"] = f"ingested {n} docs ({size} bytes, {size / 1024**2:.2f} MB)"
-        request = {"ingest_type": list_type, "ingest_data": {"gmeta": [json.loads(d) for d in docs]}}
+        request = {"ingest_type": list_type, "ingest_data": {LIST_FIELD: [json.loads(d) for d in docs]}}
         if sender is None:
             out["succeed"] = True
             if n == 1:

@@ -98,6 +98,6 @@ def read_listed(listing: DataFrame, tasks: int | None = None) -> DataFrame:
                         {n: pa.array(v, pa.string()) for n, v in zip(names, zip(*rows))}
                     )
 
-    named = listing.select("path")
-    spread = named.repartition(tasks, "path") if tasks else named.repartition("path")
-    return spread.mapInArrow(scan, SCHEMA)
+    # a fixed number of tasks: the names are few bytes, and would be merged into one task
+    tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listing.select("path").repartition(tasks, "path").mapInArrow(scan, SCHEMA)

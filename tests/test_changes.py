@@ -259,6 +259,8 @@ def test_state_snapshot(spark):
         m.flush()
     assert {f: r.path for f, r in rows.items()} == {f: n["path"] for f, n in m.nodes.items()}
     assert {f for f, r in rows.items() if r.emitted} == m.told
+    totals = namespace.state_summary(state).collect()[0]
+    assert (totals.objects, totals.lost, totals.emitted) == (len(m.nodes), 0, len(m.told))
     for f, r in rows.items():
         assert (r.children or []) == sorted(k for k, n in m.nodes.items() if n["parent"] == f)
 
