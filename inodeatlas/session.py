@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoint files go when nothing refers to their data any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # sketch buffers are objects: let the hash aggregate hold more keys before sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
