@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
 from ..operators import aggregate, dd, ranks
 from ..operators.aggregate import summary_stats
 from ..operators.dimensions import explode_dimensions, long_metrics
