@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows can be long texts: a batch is bounded by its bytes, not by its rows alone
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     "spark.sql.parquet.filterPushdown": "true",
     # checkpoint files go when nothing refers to their data any more
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -30,7 +34,25 @@ def build_session(app: str = "inodeatlas", master: str | None = None, **extra) -
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once for each context; they need no path of the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_inodeatlas_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="inodeatlas-"), "inodeatlas.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                target.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._inodeatlas_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
