@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, tokenfiles
+from . import bpe, buckets, langid, pages, quality, tokenfiles, topk
 from .common import crc_mod, table
 
 REGISTRY: dict[str, tuple] = {}
@@ -19,6 +19,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_main_text")
+def main_text(spark, sf_dir):
+    """The article of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op3_block_topk")
+def block_topk(spark, sf_dir):
+    """The 20 best inner products of every twentieth vector against all others."""
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op5_length_buckets")
+def length_buckets(spark, sf_dir):
+    """Bucket and batch of every document by its length in words."""
+    return buckets.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op7_byte_bpe")
 def byte_bpe(spark, sf_dir):
     """Ids and decoded bytes of every text, as digests."""
