@@ -49,6 +49,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table made by ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def folder_of(uri: str):
     """File system and path of a shared folder, for steps that write their own file format."""
     from pyarrow import fs
@@ -122,6 +135,35 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(index, starts, unique, hashes)
 
 
+class Rolling:
+    """Hashes of word windows of any size over one sequence, from prefix sums modulo 2^64."""
+
+    _base = 0x9E3779B97F4A7C15
+    _up = _down = np.ones(1, U64)
+
+    def __init__(self, h: np.ndarray):
+        self.n = len(h)
+        if len(Rolling._up) <= self.n:
+            size = max(2 * self.n, 1 << 16)
+            inverse = pow(self._base, -1, 1 << 64)
+            with np.errstate(over="ignore"):
+                Rolling._up = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, self._base, U64)]))
+                Rolling._down = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, inverse, U64)]))
+        with np.errstate(over="ignore"):
+            self.prefix = np.concatenate([np.zeros(1, U64), np.cumsum(h * Rolling._up[: self.n])])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words begin..end-1; the size is part of it."""
+        with np.errstate(over="ignore"):
+            raw = (self.prefix[end] - self.prefix[begin]) * Rolling._down[begin]
+            return mix(raw + (end - begin).astype(U64) * U64(0xD1B54A32D192ED03))
+
+    def fixed(self, size: int) -> np.ndarray:
+        """Hash of the window of ``size`` words that begins at each place where one fits."""
+        begin = np.arange(max(self.n - size + 1, 0))
+        return self.of(begin, begin + size)
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each range of ``starts``; empty ranges give 0."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, buckets, langid, pages, quality, tokenfiles, topk
+from . import bpe, buckets, langid, pages, quality, suffixes, tokenfiles, topk
 from .common import crc_mod, table
 
 REGISTRY: dict[str, tuple] = {}
@@ -32,6 +32,12 @@ def block_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score")
 
 
+@query("op4_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    """Every passage of 50 words or more that is found at two places or more."""
+    return suffixes.span_rows(suffixes.passages(table(spark, sf_dir, "documents")))
+
+
 @query("op5_length_buckets")
 def length_buckets(spark, sf_dir):
     """Bucket and batch of every document by its length in words."""
