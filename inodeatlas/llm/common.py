@@ -49,6 +49,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_of(parts: list[DataFrame]) -> DataFrame:
+    """The rows of several tables."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, buckets, langid, pages, quality, suffixes, tokenfiles, topk
+from . import bpe, buckets, langid, nearcopies, pages, quality, suffixes, tokenfiles, topk
 from .common import crc_mod, table
 
 REGISTRY: dict[str, tuple] = {}
@@ -44,6 +44,12 @@ def length_buckets(spark, sf_dir):
     return buckets.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op6_prob_minhash")
+def prob_minhash(spark, sf_dir):
+    """The class of near copies of every document."""
+    return nearcopies.class_rows(nearcopies.near_classes(table(spark, sf_dir, "documents")))
+
+
 @query("op7_byte_bpe")
 def byte_bpe(spark, sf_dir):
     """Ids and decoded bytes of every text, as digests."""
