@@ -127,6 +127,9 @@ def word_hash(word: bytes) -> int:
 def words_of(texts: pa.Array, lower: bool = False) -> Words:
     """Maximal runs without ``[\\x20\\x09-\\x0D]``; null is empty; ``lower`` maps A-Z only."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if len(texts) and np.frombuffer(texts.buffers()[1], np.int64, 1, 8 * texts.offset)[0]:
+        # the ASCII kernels misread slices whose data begin behind the start of the buffer
+        texts = texts.take(pa.array(np.arange(len(texts))))
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = np.asarray(split.offsets).astype(np.int64)
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()

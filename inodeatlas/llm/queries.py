@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, buckets, langid, nearcopies, pages, quality, suffixes, tokenfiles, topk
+from . import bpe, buckets, katz, langid, nearcopies, pages, quality, suffixes, tokenfiles, topk
 from .common import crc_mod, table
 
 REGISTRY: dict[str, tuple] = {}
@@ -19,6 +19,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_katz_backoff")
+def katz_backoff(spark, sf_dir):
+    """Log-probability of every text under a model of four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    scores, _ = katz.katz_scores(docs, crc_mod("doc_id", 5) == 1)
+    return scores
+
+
 @query("op2_main_text")
 def main_text(spark, sf_dir):
     """The article of every page."""
