@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
 from typing import NamedTuple
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, ship_package
 
 U64 = np.uint64
+_unpacked: dict[int, object] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -89,6 +91,15 @@ def local_path(uri: str) -> str:
     return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else os.fspath(uri)
 
 
+def unpacked(broadcast):
+    """The content of a broadcast pickle, unpickled once in each worker."""
+    key = id(broadcast)
+    if key not in _unpacked:
+        _unpacked.clear()
+        _unpacked[key] = (broadcast, pickle.loads(broadcast.value))
+    return _unpacked[key][1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

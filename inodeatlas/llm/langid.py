@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, range_sums, unit, words_of
+from .common import U64, mix, range_sums, unit, unpacked, words_of
 
 ORDER = 5
 MAX_CHARS = 1_500_000
@@ -247,7 +247,7 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
     packed = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def calibrate(batches):
-        scorer = Scorer(pickle.loads(packed.value))
+        scorer = Scorer(unpacked(packed))
         code = {g: i for i, g in enumerate(scorer.model["langs"])}
         for batch in batches:
             langs = batch.column(2).to_pylist()
@@ -284,7 +284,7 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches):
-        scorer = Scorer(pickle.loads(packed.value))
+        scorer = Scorer(unpacked(packed))
         for batch in batches:
             names, score, entropy, accepted = predict(batch.column(1), scorer)
             yield pa.RecordBatch.from_arrays(
@@ -294,3 +294,14 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     source = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
     return source.mapInArrow(run, f"doc_id long, lang_pred string, score double, entropy double, accepted boolean{extra}")
+
+
+def accepts(model: dict, spark):
+    """A column function: whether the language of a text is one of the learnt ones."""
+    packed = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        return pa.array(predict(texts, Scorer(unpacked(packed)))[3], pa.bool_())
+
+    return accepted

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, range_sums, sums, words_of
+from .common import U64, Words, mix, range_sums, sums, unpacked, words_of
 
 BITS = 18
 MAX_ROWS = 1500
@@ -223,7 +223,7 @@ def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, mi
     schema = f"doc_id long, {STATS}, quality_score double{extra}"
 
     def run(batches):
-        own = pickle.loads(packed.value)
+        own = unpacked(packed)
         for batch in batches:
             texts = batch.column(1)
             words = words_of(texts)
@@ -238,3 +238,17 @@ def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, mi
     scored = source.mapInArrow(run, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_score") >= threshold))
+
+
+def keeps(model: dict, spark, threshold: float = THRESHOLD, min_words: int = MIN_WORDS):
+    """A column function: the verdict on a text."""
+    packed = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        own, words = unpacked(packed), words_of(texts)
+        score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
+        failed = (words.counts < min_words) | (100 * repeated_words(words) > 50 * words.counts)
+        return pa.array(~failed & (score >= threshold), pa.bool_())
+
+    return kept
