@@ -25,13 +25,16 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, range_sums, unit, unpacked, words_of
 
 ORDER = 5
-MAX_CHARS = 1_500_000
+MAX_CHARS = 400_000
+WORDS_AT_ONCE = 40_000
+CHARS_AT_ONCE = 4_000_000
 MAX_CALIBRATION = 1500
 FALSE_REJECTION = 0.001
 LEAST_LIMIT = 8.0
@@ -173,8 +176,9 @@ class Scorer:
         sizes = np.fromiter(map(len, clean), dtype=np.int64, count=len(clean))
         some = np.flatnonzero(sizes)
         each = np.zeros((len(clean), len(self.model["langs"])))
-        if len(some) and self.model["langs"]:
-            each[some] = log_probs([clean[i] for i in some], self.model)
+        for i in range(0, len(some) if self.model["langs"] else 0, WORDS_AT_ONCE):
+            own = some[i : i + WORDS_AT_ONCE]
+            each[own] = log_probs([clean[k] for k in own], self.model)
         lengths = np.where(sizes > 0, sizes + 1, 0)
         chars = range_sums(lengths[words.index], words.starts)
         totals = np.stack([range_sums(each[words.index, j], words.starts) for j in range(each.shape[1])], axis=1) if self.model["langs"] else np.zeros((len(chars), 0))
@@ -186,7 +190,14 @@ def _standard(model: dict, chars: np.ndarray, entropy: np.ndarray, best: np.ndar
 
 
 def predict(texts: pa.Array, scorer: Scorer):
-    """Names, scores, cross-entropies and acceptance of a batch."""
+    """Names, scores, cross-entropies and acceptance of a batch, by slices of bounded size."""
+    edges = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)) // CHARS_AT_ONCE
+    starts = np.flatnonzero(np.concatenate([[True], edges[1:] != edges[:-1]])) if len(texts) else np.zeros(1, np.int64)
+    parts = [_predict(texts.slice(a, b - a), scorer) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)])]
+    return [n for p in parts for n in p[0]], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+
+
+def _predict(texts: pa.Array, scorer: Scorer):
     model = scorer.model
     chars, totals = scorer(texts)
     n = len(chars)
