@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 EXACT = 1024
 SLICE = 50_000
 
@@ -77,8 +79,9 @@ def pack(df: DataFrame, n_tokens: Column | None = None, buckets: int = 24, budge
     ``batch`` numbers the batches of all buckets; ``slot`` is the place in the batch.
     """
     length = word_tokens(text_col) if n_tokens is None else n_tokens
-    rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")
+    rows = stored(  # lengths are counted once
+        df.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")),
+        "lengths",
     )
     histogram = rows.groupBy(grid(F.col("n_tokens")).alias("room")).count().collect()  # bounded by the grid
     histogram.sort()
