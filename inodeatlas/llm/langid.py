@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix, range_sums, unit, unpacked, words_of
 
 ORDER = 5
-MAX_CHARS = 400_000
+MAX_CHARS = 800_000
 WORDS_AT_ONCE = 40_000
 CHARS_AT_ONCE = 4_000_000
 MAX_CALIBRATION = 1500
