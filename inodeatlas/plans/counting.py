@@ -111,12 +111,13 @@ def expected(spark, sf_dir):
 
 @query(
     "latest_counts",
-    f"WITH {WORKER_SQL} SELECT kind, name, worker, CAST(count AS BIGINT) AS count FROM counts WHERE kind = 'group'",
+    f"WITH {WORKER_SQL} SELECT kind, name, worker, CAST(count AS BIGINT) AS count FROM counts",
 )
 def latest(spark, sf_dir):
-    """Running totals 1..n arrive as messages; the last one counts."""
-    groups = _bucketed(spark, sf_dir).filter(F.col("kind") == "group")
-    each = groups.select("kind", "name", "worker", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("count"))
+    """Running totals 1, 2, 4 and so on up to n arrive as messages; the last one counts."""
+    powers = F.transform(F.sequence(F.lit(0), F.length(F.bin("count")) - 1), lambda i: F.pow(F.lit(2.0), i).cast("long"))
+    told = F.array_union(powers, F.array("count"))  # at most 64 for any count
+    each = _bucketed(spark, sf_dir).select("kind", "name", "worker", F.explode(told).alias("count"))
     lines = each.select(F.col("count").alias("offset"), text.count_line().alias("value"))
     parsed = lines.select("offset", text.parse_count_line("value").alias("m")).select("offset", "m.*")
     return _long_worker(c.latest_counts(parsed))
@@ -135,13 +136,13 @@ def key_cardinality(spark, sf_dir):
 @query(
     "complete_keys",
     f"""WITH {FILES_SQL}, {KEYS_SQL} SELECT kind, name, CAST(count(*) AS BIGINT) AS count FROM keyed
-    WHERE kind = 'group' AND CAST(name AS BIGINT) % 2 = 0 GROUP BY kind, name""",
+    WHERE length(name) % 2 = 0 GROUP BY kind, name""",
 )
 def complete(spark, sf_dir):
     """Summaries come out only for keys whose expected count is reached."""
     inv = files(spark, sf_dir)
-    partial = c.explode_dimensions(inv, ("grp",)).groupBy("kind", "name").agg(F.count("*").alias("count"))
-    odd = F.col("name").cast("long") % 2
+    partial = c.explode_dimensions(inv).groupBy("kind", "name").agg(F.count("*").alias("count"))
+    odd = F.length("name") % 2
     stated = partial.withColumn("count", F.col("count") + odd)
     return c.complete_keys(partial, stated, ["kind", "name"]).select("kind", "name", "count")
 

@@ -199,10 +199,10 @@ def quantiles_dd(spark, sf_dir):
     f"""WITH {FILES_SQL}, {KEYS_SQL}, {LONG_SQL}
     SELECT kind, name, metric,
       CAST(ceil(ln(CAST(value AS DOUBLE)) / ln(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE))) AS BIGINT) AS bucket,
-      CAST(count(*) AS BIGINT) AS cnt FROM long WHERE kind <> 'prefix' GROUP BY ALL""",
+      CAST(count(*) AS BIGINT) AS cnt FROM long GROUP BY ALL""",
 )
 def dd_sketch_table(spark, sf_dir):
-    table = dd.key_buckets(files(spark, sf_dir), ("usr", "grp"))
+    table = dd.key_buckets(files(spark, sf_dir))
     return table.select(
         "kind", "name", "metric", (F.col("bucket") - dd.ORIGIN).cast("long").alias("bucket"), "cnt"
     )

@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Names in requests and receipts.
 LIST_TYPE = "GMetaList"
 LIST_FIELD = "gmeta"
 
-RECEIPTS = "lane long, batch long, documents long, bytes long, value string"
-
-
-def failure_record(exc: Exception) -> str:
-    """An exception as JSON text."""
-    import json
-    import traceback
-
-    return json.dumps(
-        {
-            "acknowledged": False,
-            "success": False,
-            "type": type(exc).__name__,
-            "message": str(exc),
-            "traceback": traceback.format_exc().splitlines(),
-        }
+# What a task tells of each batch; the receipt itself is made by column functions.
+TOLD = (
+    "lane long, batch long, documents long, bytes long, single string, answer string, "
+    "fault struct<type: string, message: string, traceback: array<string>>"
+)
+
+
+def failure_record() -> Column:
+    """The fault of a batch as JSON text."""
+    no = F.lit(False)
+    return F.to_json(F.struct(no.alias("acknowledged"), no.alias("success"), "fault.type", "fault.message", "fault.traceback"))
+
+
+def receipt(dry: bool, list_type: str = LIST_TYPE) -> Column:
+    """Receipt text of a batch: plain fields by ``to_json``, texts that are JSON already behind them."""
+    megabytes = F.col("bytes") / F.lit(float(1 << 20))
+    plain = F.to_json(
+        F.struct(
+            F.lit(dry).alias("mock"),
+            F.format_string("ingested %d docs (%d bytes, %.2f MB)", "documents", "bytes", megabytes).alias("msg"),
+            F.col("fault").isNull().alias("succeed"),
+            F.when(F.col("fault").isNotNull(), failure_record()).alias("resp"),
+        )
+    )
+    request = F.concat(F.lit(f'{{"ingest_type":"{list_type}","ingest_data":{{"{LIST_FIELD}":['), "single", F.lit("]}}"))
+    behind = F.concat(
+        F.coalesce(F.concat(F.lit(',"data":'), request), F.lit("")), F.coalesce(F.concat(F.lit(',"resp":'), "answer"), F.lit("")), F.lit("}")
     )
+    return F.concat(F.regexp_replace(plain, r"\}$", ""), behind)
 
 
 def write_documents(
@@ -43,42 +57,35 @@ def write_documents(
     receiving side should overwrite by subject. Read the receipts once, or store them.
     """
 
-    def receipt(lane, batch, docs, size):
+    def call(documents):
+        """Answer text and fault of one request."""
         import json
+        import traceback
 
-        n = len(docs)
-        out = {"mock": sender is None}
-        out["msg"] = f"ingested {n} docs ({size} bytes, {size / 1024**2:.2f} MB)"
-        request = {"ingest_type": list_type, "ingest_data": {LIST_FIELD: [json.loads(d) for d in docs]}}
-        if sender is None:
-            out["succeed"] = True
-            if n == 1:
-                out["data"] = request
-        else:
-            try:
-                out.update(succeed=True, resp=sender(request))
-            except Exception as exc:  # noqa: BLE001 - a failed batch is a result, not a crash
-                out.update(succeed=False, resp=failure_record(exc))
-        return lane, batch, n, size, json.dumps(out)
+        try:
+            listed = [json.loads(d) for d in documents]
+            return json.dumps(sender({"ingest_type": list_type, "ingest_data": {LIST_FIELD: listed}})), None
+        except Exception as fault:  # noqa: BLE001 - a failed batch is a result, not a crash
+            lines = traceback.format_exception(fault)
+            return None, {"type": type(fault).__name__, "message": str(fault), "traceback": "".join(lines).splitlines()}
 
     def send(batches):
         import pyarrow as pa
 
-        names = [f.split()[0] for f in RECEIPTS.split(", ")]
-        now, docs, size = None, [], 0
-        for record_batch in batches:
-            done = []
-            columns = [record_batch.column(c).to_pylist() for c in ("lane", "batch", "document", "bytes")]
-            for lane, batch, document, length in zip(*columns):
-                if now is not None and now != (lane, batch):
-                    done.append(receipt(*now, docs, size))
-                    docs, size = [], 0
-                now = (lane, batch)
-                docs.append(document)
-                size += length
-            if done:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*done)))))
-        if now is not None:
-            yield pa.RecordBatch.from_pydict(dict(zip(names, ([x] for x in receipt(*now, docs, size)))))
-
-    return packed.mapInArrow(send, RECEIPTS)
+        fault_type = pa.struct([("type", pa.string()), ("message", pa.string()), ("traceback", pa.list_(pa.string()))])
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [fault_type]
+        schema = pa.schema(list(zip(("lane", "batch", "documents", "bytes", "single", "answer", "fault"), kinds)))
+
+        def told(rows):
+            (lane, batch), documents = rows[0][:2], [r[2] for r in rows]
+            answer, fault = (None, None) if sender is None else call(documents)
+            single = documents[0] if sender is None and len(documents) == 1 else None
+            values = (lane, batch, len(rows), sum(r[3] for r in rows), single, answer, fault)
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, values))], schema=schema)
+
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lane", "batch", "document", "bytes"))))
+        for _, own in itertools.groupby(rows, key=lambda r: r[:2]):
+            yield told(list(own))  # a batch is bounded by its bytes
+
+    sent = packed.mapInArrow(send, TOLD)
+    return sent.select("lane", "batch", "documents", "bytes", receipt(sender is None, list_type).alias("value"))
