@@ -91,6 +91,16 @@ def local_path(uri: str) -> str:
     return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else os.fspath(uri)
 
 
+def fitted(rows: DataFrame, fit):
+    """``fit`` of the batches of a sample of bounded size, in one task: the driver gets the model only."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(batches)))], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([])
+
+
 def unpacked(broadcast):
     """The content of a broadcast pickle, unpickled once in each worker."""
     key = id(broadcast)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, range_sums, unit, unpacked, words_of
+from .common import U64, fitted, mix, range_sums, unit, unpacked, words_of
 
 ORDER = 5
 MAX_CHARS = 800_000
@@ -247,12 +247,17 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
             )
 
     counted = rows.mapInArrow(sample, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    samples: dict[str, dict[str, int]] = {g: {} for g in sizes}
-    for lang, word, n in counted.collect():
-        clean = letters_of([word])[0]
-        if clean:
-            samples[lang][clean] = samples[lang].get(clean, 0) + n
-    model = build({g: w for g, w in samples.items() if w}, order)
+    def learn_words(batches):
+        samples: dict[str, dict[str, int]] = {}
+        for batch in batches:
+            langs, words, counts = (c.to_pylist() for c in batch.columns)
+            for lang, word, n in zip(langs, letters_of(words), counts):
+                if word:
+                    own = samples.setdefault(lang, {})
+                    own[word] = own.get(word, 0) + n
+        return build(samples, order)
+
+    model = fitted(counted, learn_words)
     if not model["langs"]:
         return model
     packed = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))

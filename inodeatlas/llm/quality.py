@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, range_sums, sums, unpacked, words_of
+from .common import U64, Words, fitted, mix, range_sums, sums, unpacked, words_of
 
 BITS = 18
 MAX_ROWS = 1500
@@ -169,9 +169,12 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = texts.join(chosen, "doc_id").select("doc_id", "text", "quality")
-    got = sample.mapInArrow(run, "doc_id long, quality int, slots binary, vals binary").collect()
-    got.sort(key=lambda r: (r[0], bytes(r[2]), bytes(r[3])))
-    return fit([(r[1], np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4").astype(np.float64)) for r in got])
+    def learn(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        rows.sort(key=lambda r: (r[0], r[2], r[3]))
+        return fit([(q, np.frombuffer(slots, "<i4").astype(np.int64), np.frombuffer(values, "<f4").astype(np.float64)) for _, q, slots, values in rows])
+
+    return fitted(sample.mapInArrow(run, "doc_id long, quality int, slots binary, vals binary"), learn)
 
 
 def statistics(texts: pa.Array, words: Words) -> list[np.ndarray]:
