@@ -23,15 +23,12 @@ _unpacked: dict[int, object] = {}
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that Arrow steps over long texts rely on; values set by the caller stay."""
     ship_package(spark)
-    for key, value in (
-        ("spark.sql.execution.arrow.maxBytesPerBatch", "32m"),
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"),
+    for key, standard, value in (
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "32m", "33554432b"), "8m"),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "1500"),
     ):
-        try:
-            if spark.conf.get(key) in ("-1", "10000", "9223372036854775807", "2147483647", "256MB", "64MB"):
-                spark.conf.set(key, value)
-        except Exception:  # noqa: BLE001 - an unknown setting is left alone
-            continue
+        if spark.conf.get(key, None) in standard:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -164,6 +161,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
         index = index[keep]
     hashes = np.fromiter(map(word_hash, unique.to_pylist()), dtype=U64, count=len(unique))
+    pa.default_memory_pool().release_unused()  # workers live on and share the memory of an executor
     return Words(index, starts, unique, hashes)
 
 

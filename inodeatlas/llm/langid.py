@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import U64, fitted, mix, range_sums, unit, unpacked, words_of
 
 ORDER = 5
-MAX_CHARS = 800_000
-WORDS_AT_ONCE = 40_000
+MAX_CHARS = 600_000
+WORDS_AT_ONCE = 20_000
 CHARS_AT_ONCE = 4_000_000
 MAX_CALIBRATION = 1500
 FALSE_REJECTION = 0.001
