@@ -24,8 +24,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings that Arrow steps over long texts rely on; values set by the caller stay."""
     ship_package(spark)
     for key, standard, value in (
-        ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "32m", "33554432b"), "8m"),
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "1500"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "32m", "33554432b"), "4m"),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "1000"),
     ):
         if spark.conf.get(key, None) in standard:
             spark.conf.set(key, value)

@@ -168,7 +168,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
                 )
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(chosen, "doc_id").select("doc_id", "text", "quality")
+    # the drawn ids are bounded by max_rows of each class, so texts need not be shuffled for them
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     def learn(batches):
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         rows.sort(key=lambda r: (r[0], r[2], r[3]))
