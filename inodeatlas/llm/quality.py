@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, fitted, mix, range_sums, sums, unpacked, words_of
 
 BITS = 18
-MAX_ROWS = 1500
+MAX_ROWS = 600
 THRESHOLD = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -104,12 +104,14 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rate:
     def stack(keep):
         own = [rows[i] for i in np.flatnonzero(keep)]
         starts = np.concatenate([[0], np.cumsum([len(r[1]) for r in own])])
-        return np.concatenate([r[1] for r in own]), np.concatenate([r[2] for r in own]), starts
+        return np.concatenate([r[1] for r in own]).astype(np.int32), np.concatenate([r[2] for r in own]).astype(np.float32), starts
 
     slots, values, starts = stack(~held)
     y = labels[~held]
-    at = np.repeat(np.arange(len(y)), np.diff(starts))
+    at = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
     used, local = np.unique(slots, return_inverse=True)
+    local = local.astype(np.int32)
+    del slots
     w, bias = np.zeros(len(used)), 0.0
     seen, seen_bias = np.full(len(used), 1e-8), 1e-8
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
@@ -124,7 +126,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rate:
     out["weights"][used] = w
     out["bias"] = float(bias)
     # Platt: held-back rows give slope and shift, with smoothed targets
-    slots, values, starts = stack(held) if held.any() else (slots, values, starts)
+    slots, values, starts = stack(held if held.any() else ~held)
     y = labels[held] if held.any() else y
     x = bias + range_sums(out["weights"][slots] * values, starts)
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -173,7 +175,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     def learn(batches):
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         rows.sort(key=lambda r: (r[0], r[2], r[3]))
-        return fit([(q, np.frombuffer(slots, "<i4").astype(np.int64), np.frombuffer(values, "<f4").astype(np.float64)) for _, q, slots, values in rows])
+        return fit([(q, np.frombuffer(slots, "<i4"), np.frombuffer(values, "<f4")) for _, q, slots, values in rows])
 
     return fitted(sample.mapInArrow(run, "doc_id long, quality int, slots binary, vals binary"), learn)
 
