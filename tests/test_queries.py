@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 import oracle
@@ -25,4 +27,6 @@ def test_entry(spark):
 
 
 def test_only_brute_force_queries_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == {"namespace_path_collisions"}
+    # the training-data queries, where they are there, have brute-force tests of their own
+    without = {n for n in set(queries()) - set(oracle_sql()) if not re.match(r"op\d+_|pipeline$", n)}
+    assert without == {"namespace_path_collisions"}
