@@ -43,12 +43,23 @@ def running_counts(spark, sf_dir):
     return latest_counts(messages).select("name", "count")
 
 
-@query("stream_namespace_feed", f"WITH {GPFS_SQL}, {_path_feed_sql('gpfs', 1)}")
+def _micro_batches(spark, rows, size: int, folder: str):
+    """Rows as a stream whose micro-batches are ``size`` record ids, a file for each."""
+    parts = rows.withColumn("part", F.floor(F.col("eid") / size)).repartition("part").sortWithinPartitions("part")
+    parts.write.partitionBy("part").parquet(folder)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    return reader.parquet(folder)
+
+
+@query("stream_namespace_feed", f"WITH {GPFS_SQL}, {_path_feed_sql('gpfs', 3)}")
 def namespace_feed(spark, sf_dir):
-    """The feed of the whole log, followed as a stream that is cut into polls."""
+    """The feed of the whole log, followed in micro-batches that cut polls and flushes."""
     folder = f"{checkpoint_dir(spark)}/{uuid.uuid4()}"
-    stream = gpfs_rows(_stream(spark, sf_dir, "events")).drop("batch_id")
-    handle = follow_namespace(spark, "inotify", folder, reduce=False, poll_size=1000)
+    rows = gpfs_rows(table(spark, sf_dir, "events")).drop("batch_id")
+    span = rows.agg(F.max("eid")).first()[0] or 0
+    # three micro-batches at any size; none ends where a poll does
+    stream = _micro_batches(spark, rows, span // 3 + 7, f"{folder}/log")
+    handle = follow_namespace(spark, "inotify", folder, reduce=False, poll_size=1000, flush_every=3)
     run_to_end(stream, handle, f"{folder}/checkpoint")
     told = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/changes")
     return told.select("flush", "op", "fid", "path", "size", "mtime", "uid")

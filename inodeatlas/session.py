@@ -74,3 +74,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder; survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def numbered_folders(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers that name the entries of a shared folder, ascending; none where it is missing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(path)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that the library wrote itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

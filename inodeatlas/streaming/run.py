@@ -13,6 +13,7 @@ from ..operators.packing import assign_lanes, pack_documents
 from ..operators.reduction import reduce_events
 from ..sinks.documents import write_documents
 from ..sinks.writers import write_changes
+from ..sources.changelog import poll_batches
 
 
 def start(
@@ -33,11 +34,16 @@ def start(
 
 
 def run_to_end(stream: DataFrame, handle, checkpoint: str, timeout: float | None = None) -> bool:
-    """Run until the source is drained, or at most ``timeout`` seconds. True when drained."""
+    """Run until the source is drained, or at most ``timeout`` seconds. True when drained.
+
+    A handler with a ``finish`` emits what it holds back once the query has ended.
+    """
     query = start(stream, handle, checkpoint)
     finished = query.awaitTermination(timeout) if timeout else query.awaitTermination() is None
     if not finished:
         query.stop()
+    if hasattr(handle, "finish"):
+        handle.finish()
     return bool(finished)
 
 
@@ -75,11 +81,15 @@ def complete_stream(partials: DataFrame, expected: DataFrame, keys: Sequence[str
     return partials.join(wanted, list(keys)).filter(F.col("count") == F.col("expected"))
 
 
-def pass_through_stream(profile: str, destination: str, reduce: bool = True, **options):
-    """Batch handler that forwards the reduced events and keeps no state."""
+def pass_through_stream(profile: str, destination: str, reduce: bool = True, poll_size: int = 10_000, **options):
+    """Batch handler that forwards the reduced events and keeps no state.
+
+    Polls are ``poll_size`` record ids, so a hot object is at most that many rows in one task; a
+    micro-batch that ends within a poll ends the poll.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        events = batch.withColumn("batch_id", F.lit(number).cast("long"))
+        events = poll_batches(batch, poll_size)
         write_changes(reduce_events(events, profile, reduce), destination, **options)
 
     return handle

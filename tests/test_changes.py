@@ -6,7 +6,7 @@ from inodeatlas.operators import namespace, reduction, refresh
 from inodeatlas.schemas import FID_RULES, INOTIFY_RULES, NULL_FID
 from inodeatlas.sources.changelog import poll_batches
 from inodeatlas.streaming import run
-from inodeatlas.streaming.follow import follow_namespace
+from inodeatlas.streaming.follow import follow_namespace, order_partitions
 
 PATH_SCHEMA = (
     "eid long, batch_id long, inode long, is_dir boolean, event_type string, path string, size long, atime long, "
@@ -230,21 +230,43 @@ def test_shared_paths_match_the_model(spark):
     assert as_rows(out, "inotify") == want_rows(events, "inotify", False)
 
 
-@pytest.mark.parametrize("profile", ["inotify", "fid"])
-def test_stream_equals_replay(spark, tmp_path, profile):
-    """Files of events, one per micro-batch, give the feed of the whole history."""
-    events = model.history(21, 120, profile, batch=40)
+@pytest.mark.parametrize("profile, poll, every, reduce", [("inotify", 40, 1, True), ("fid", 40, 1, True), ("inotify", 13, 3, True), ("fid", 17, 2, True)])
+def test_stream_equals_replay(spark, tmp_path, profile, poll, every, reduce):
+    """Micro-batches that cut polls and flushes give the feed of the whole history."""
+    events = model.history(21, 120, profile, batch=poll)
     df = frame(spark, events, profile)
     inbox = tmp_path / "in"
-    for b in range(3):
-        df.filter(F.col("batch_id") == b).drop("batch_id").coalesce(1).write.mode("append").parquet(str(inbox))
+    size = 40 if every == 1 else 31
+    for b in range(-(-120 // size)):
+        part = df.filter(F.floor(F.col("eid") / size) == b).drop("batch_id")
+        part.coalesce(1).write.mode("append").parquet(str(inbox))
     schema = df.drop("batch_id").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
     # small bases, so that compaction takes part
-    handle = follow_namespace(spark, profile, str(tmp_path), base_resolver(spark, profile), compact_every=2)
+    handle = follow_namespace(
+        spark, profile, str(tmp_path), base_resolver(spark, profile), poll_size=poll, flush_every=every, compact_every=2
+    )
     assert run.run_to_end(stream, handle, str(tmp_path / "checkpoint"), timeout=300)
     out = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "changes"))
-    assert as_rows(out, profile) == want_rows(events, profile, True)
+    assert as_rows(out, profile) == want_rows(events, profile, reduce, every)
+
+
+def test_flush_waits_for_its_last_poll(spark, tmp_path):
+    """A deletion in the next micro-batch takes back what the flush would have told."""
+    handle = follow_namespace(spark, "inotify", str(tmp_path), poll_size=2, flush_every=2)
+    first = [path_event(0, "IN_CREATE", 7, "/a"), path_event(1, "IN_CREATE", 8, "/b")]
+    second = [path_event(2, "IN_DELETE", 7, "/a"), path_event(3, "IN_MODIFY", 8, "/b")]
+    for n, events in enumerate((first, second)):
+        handle(frame(spark, events, "inotify").drop("batch_id"), n)
+    handle.finish()
+    out = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "changes"))
+    assert [(r.flush, r.op, r.fid, r.path) for r in out.collect()] == [(0, "update", "8", "/b")]
+
+
+def test_partitions_with_the_same_offsets(spark):
+    df = spark.createDataFrame([(1, 5, "c"), (0, 5, "a"), (0, 6, "b"), (1, 7, "d")], "partition int, offset long, what string")
+    got = order_partitions(df, 10).orderBy("eid").collect()
+    assert [(r.eid, r.what) for r in got] == [(10, "a"), (11, "b"), (12, "c"), (14, "d")]
 
 
 def test_state_snapshot(spark):
