@@ -263,6 +263,18 @@ def test_flush_waits_for_its_last_poll(spark, tmp_path):
     assert [(r.flush, r.op, r.fid, r.path) for r in out.collect()] == [(0, "update", "8", "/b")]
 
 
+def test_stream_of_ignored_events_and_repeated_batch(spark, tmp_path):
+    handle = follow_namespace(spark, "inotify", str(tmp_path), ignore="IN_OPEN")
+    opened = frame(spark, [path_event(0, "IN_OPEN", 7, "/a")], "inotify").drop("batch_id")
+    created = frame(spark, [path_event(0, "IN_CREATE", 7, "/a")], "inotify").drop("batch_id")
+    # the first micro-batch runs again after a final flush
+    for batch, want in ((opened, []), (created, [(0, "update", "7", "/a")])):
+        handle(batch, 0)
+        handle.finish()
+        out = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "changes"))
+        assert [(r.flush, r.op, r.fid, r.path) for r in out.collect()] == want
+
+
 def test_partitions_with_the_same_offsets(spark):
     df = spark.createDataFrame([(1, 5, "c"), (0, 5, "a"), (0, 6, "b"), (1, 7, "d")], "partition int, offset long, what string")
     got = order_partitions(df, 10).orderBy("eid").collect()
