@@ -9,10 +9,12 @@ probability is fully interpolated already, so most letters need one search.
 The words to learn from are a sample of at most ``MAX_CHARS`` characters of each language in
 expectation, taken word by word by hash; the bound keeps the model small enough to broadcast.
 A text gets the language of the lowest cross-entropy for each character. Rejection is calibrated
-on labelled texts outside the sample (at most ``MAX_CALIBRATION`` of each language): a text is
-rejected if its cross-entropy, in standard errors for its length, lies beyond what all but a share
-``FALSE_REJECTION`` of them show (and beyond ``LEAST_LIMIT``), and nearer to that of random letters
-than to that of the language; or if it has no letter.
+on labelled texts outside the sample (at most ``MAX_CALIBRATION`` of each language). Labels may be
+wrong and texts noise, so centre and spread are medians over the texts whose best language is their
+label, and the limit leaves out those beyond halfway to the entropy of the language's single
+letters. A text is rejected if its cross-entropy, in standard errors for its length, lies beyond
+what all but a share ``FALSE_REJECTION`` of the texts left show (and beyond ``LEAST_LIMIT``), and
+above the entropy of single letters, so that the contexts explain nothing; or if it has no letter.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties
 go to the smaller name; without any language to learn from, every text gets ``und``; repeated rows
@@ -98,6 +100,18 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _entropy(counts: np.ndarray) -> float:
+    """Entropy in nats of a distribution given by counts."""
+    p = counts[counts > 0] / max(counts.sum(), 1)
+    return float(-np.sum(p * np.log(p)))
+
+
+def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values)
+    total = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(total, total[-1] / 2)])
+
+
 def build(samples: dict[str, dict[str, int]], order: int = ORDER) -> dict:
     """Models from word counts of each language."""
     langs = sorted(samples)
@@ -132,6 +146,8 @@ def build(samples: dict[str, dict[str, int]], order: int = ORDER) -> dict:
             own = np.maximum(count - discount, 0) / np.maximum(total[ctx_of], 1)
             probs[:, j] = own + back[ctx_of, j] * lower[:, j]
         below = probs[inverse]
+        if n == 0:  # what the letters alone leave open, whatever the alphabet of the others
+            model["single"] = np.array([_entropy(np.bincount(inverse, w)) for w in weights])
         model["grams"].append(keys)
         model["probs"].append(np.log(probs).astype(np.float32))
         model["contexts"].append(ctx_keys)
@@ -209,8 +225,7 @@ def _predict(texts: pa.Array, scorer: Scorer):
     entropy = -top / np.maximum(chars, 1)
     some = chars > 0
     names = [model["langs"][b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())]
-    halfway = (model["center"][best] - model["floor"]) / 2
-    strange = (_standard(model, chars, entropy, best) > model["limit"]) & (entropy > halfway)
+    strange = (_standard(model, chars, entropy, best) > model["limit"]) & (entropy > model["single"][best])
     accepted = some & ~strange
     return names, np.where(some, score, 0.0), np.where(some, entropy, 0.0), accepted
 
@@ -273,7 +288,7 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
             chars, totals = scorer(batch.column(1).take(pa.array(keep)))
             own = np.array([code[langs[k]] for k in keep.tolist()])
             entropy = -totals[np.arange(len(own)), own] / np.maximum(chars, 1)
-            ok = chars > 0
+            ok = (chars > 0) & (totals.argmax(axis=1) == own)  # others are mislabelled or noise
             yield pa.RecordBatch.from_arrays([pa.array(own[ok], pa.int32()), pa.array(chars[ok], pa.int64()), pa.array(entropy[ok], pa.float64())], ["lang", "chars", "entropy"])
 
     seen = rows.mapInArrow(calibrate, "lang int, chars long, entropy double").collect()
@@ -284,11 +299,11 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
         if own.sum() < 2:
             model["center"][j], model["spread"][j] = -model["floor"], 1e9  # nothing known: no rejection
             continue
-        weight = chars[own] / chars[own].sum()
-        model["center"][j] = np.sum(weight * entropy[own])
+        model["center"][j] = _weighted_median(entropy[own], chars[own])
         z = (entropy[own] - model["center"][j]) * np.sqrt(chars[own])
         model["spread"][j] = max(1.4826 * np.median(np.abs(z)), 1e-6)
-        worst.append(z / model["spread"][j])
+        halfway = (model["center"][j] + model["single"][j]) / 2
+        worst.append(z[entropy[own] <= max(halfway, model["center"][j])] / model["spread"][j])
     model["limit"] = max(LEAST_LIMIT, float(np.quantile(np.concatenate(worst), 1 - FALSE_REJECTION))) if worst else np.inf
     return model
 

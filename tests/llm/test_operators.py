@@ -360,6 +360,22 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(texts, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("share", [0.01, 0.03])
+def test_labelled_noise_does_not_set_the_limit(spark, share):
+    """Random letters labelled as a language, in the rows to learn from and to calibrate on, are rejected."""
+    rng = random.Random(8)
+    spoken = {"one": ["the", "ing", "an", "er", "tion", "ha"], "two": ["sch", "ein", "ung", "ver", "de", "ich"]}
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(1000):
+        lang, bad = ("one", "two")[i % 2], i < 1000 * share
+        rows.append((i, " ".join(noise() if bad else word(spoken[lang]) for _ in range(rng.choice([50, 150, 500]))), lang, "s", 0))
+    texts = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.accepted for r in langid.identify(texts, langid.train(texts, F.lit(True))).collect()}
+    assert [i for i in range(1000) if got[i] != (i >= 1000 * share)] == []
+
+
 def test_kneser_ney_adds_up():
     model = langid.build({"a": {"abc": 3, "abd": 1, "ba": 2}, "b": {"ccc": 4, "ab": 1}}, 3)
     for context in ("", "a", "ab", "zz"):
