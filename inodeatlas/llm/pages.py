@@ -6,9 +6,14 @@ article (navigation, header, footer, sidebar, form and the like), or whose class
 such a part, are boilerplate. The second pass settles the blocks that are too short to judge:
 headings that lead to text, and short blocks by their nearest decided neighbours.
 
-Where a page marks its article (``article`` or ``main``), blocks inside it are judged only by
-containers and links, not by length, since the page itself has decided; a marked page without
-text inside the mark is judged as a whole.
+Where a page marks its article (``article`` or ``main``), blocks outside the mark and in other
+containers are boilerplate and have no vote; those inside go through both passes like any other, and the mark is one more
+piece of evidence: a block that is short, or of middle length with few stop words, is kept if one
+neighbour is text or none is decided. A marked page without text inside the mark is judged as a
+whole. Articles inside another one, and articles whose class or id begins with a word for comments,
+are tested like other containers. Short blocks that are mostly words of buttons, by-lines or dates,
+and notices, are boilerplate wherever they stand; they are known by short fixed lists in the
+languages of the stop words.
 
 Defined results: a null page, an empty page and a page without article text give the empty text.
 Repeated rows give one row each. Broken markup is read as browsers do in the common cases:
@@ -65,6 +70,25 @@ STOP_WORDS = frozenset(
     "al como con cuando de del desde donde el ella en entre era es esta este fue ha hasta la las le les lo los me mi muy más ni o para pero por porque "
     "que se ser si sin sobre son su sus también te un una y ya".split()
 )
+# words of article elements that hold what readers wrote
+COMMENTS = frozenset("comment comments commentlist reply replies response respond".split())
+# words of buttons and of lines about an article
+BAR_WORDS = frozenset(
+    "share tweet email print pin save follow facebook twitter whatsapp linkedin pinterest reddit instagram telegram copy link comments likes views "
+    "shares advertisement sponsored published updated posted filed tagged subscribe login signup bookmark min read "
+    "teilen drucken merken folgen anzeige veröffentlicht aktualisiert kommentare lesezeit "
+    "partager imprimer suivre publicité publié commentaires compartir imprimir guardar seguir publicidad publicado actualizado comentarios".split()
+)
+BAR_SHARE = 0.5
+# a name, or names, after the word for "by", and perhaps a date; no sentence
+BYLINE = re.compile(r"(?:written |posted |published )?(?:by|von|par|por):? (?:[A-ZÀ-Þ][\w.'’-]*(?: (?:and|und|et|y|de|von|van))?[ ,|·•–—-]*){1,6}(?:(?:on |am |le |el )?\W*\d[\w\s.,:/|-]*)?", re.I)
+DATE = re.compile(r"[\W\d]*(?:[^\W\d]+[\W\d]+){0,3}(?:19|20)\d\d(?:[\W\d]|am|pm|utc|gmt|uhr)*", re.I)
+NOTICE = re.compile(
+    r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|privacy policy|datenschutzerklärung"
+    r"|politique de confidentialité|política de privacidad|terms of (?:use|service)|uses? cookies|accept (?:all )?cookies|cookies? (?:policy|settings)"
+    r"|ad ?blocker|sign up|subscribe|our newsletter|unseren newsletter|notre newsletter|nuestro boletín|you agree to",
+    re.I,
+)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -78,15 +102,18 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 
 
 class Block:
-    __slots__ = ("text", "links", "outside", "inside", "heading", "label")
+    __slots__ = ("text", "links", "outside", "inside", "heading", "label", "prior")
 
     def __init__(self, text, links, outside, inside, heading):
         self.text, self.links, self.outside, self.inside, self.heading = text, links, outside, inside, heading
-        self.label = None
+        self.label, self.prior = None, False
+
 
+def _marks_part(attributes: str, name: str, nested: bool = False) -> bool:
+    """Whether the attributes of a tag say that it holds something else than the article.
 
-def _marks_part(attributes: str, name: str) -> bool:
-    """Whether the attributes of a tag say that it holds something else than the article."""
+    ``nested``: it stands inside an article. Others are named after what they are about, too.
+    """
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true"):
@@ -95,7 +122,10 @@ def _marks_part(attributes: str, name: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+        if key in ("class", "id") and name == "article" and not nested:
+            if any(words and words[0].lower() in COMMENTS for words in map(NAME.findall, value.split())):
+                return True
+        elif key in ("class", "id") and name not in ("html", "body", "main"):
             for one in value.split():
                 words = {w.lower() for w in NAME.findall(one)}
                 if words & LAYOUT:
@@ -166,7 +196,7 @@ def blocks_of(page: str) -> list[Block]:
             if anchors:
                 linked.append(" ")
             continue
-        other = not closing and name not in VOID and (name in OUTSIDE or _marks_part(attributes, name))
+        other = not closing and name not in VOID and (name in OUTSIDE or _marks_part(attributes, name, inside > 0))
         if name not in BLOCKS and not other and not any(n == name for n, _ in open_):
             continue
         if name in BLOCKS or other or closing:
@@ -198,33 +228,59 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _is_bar(text: str, words: list[str]) -> bool:
+    """Whether a short block is a row of buttons, a by-line or a date."""
+    if words and sum(w in BAR_WORDS for w in words) >= BAR_SHARE * len(words) and any(w in BAR_WORDS for w in words):
+        return True
+    return bool(DATE.fullmatch(text)) or (text[-1] not in "!?" and _is_byline(text))
+
+
+def _is_byline(text: str) -> bool:
+    if not BYLINE.fullmatch(text):
+        return False
+    names = WORD.findall(text)[1:]
+    return len(names) > 1 and sum(w[0].isupper() for w in names) >= 0.6 * len(names)
+
+
+def _first_pass(b: Block, prior: bool) -> str:
+    """The class of a block by itself; ``prior``: it stands inside the article that the page marks.
+
+    "out" is "bad", but says nothing about its neighbours inside a mark.
+    """
+    n = len(b.text)
+    density = b.links / n
+    words = WORD.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if density > MAX_LINK_DENSITY:
+        if prior and b.heading:
+            return "short"
+        return "near" if prior and n >= LONG_CHARS and stop >= STOP_HIGH else "bad"
+    if "©" in b.text[:3] or "©" in b.text[-3:]:
+        return "out"
+    if not b.heading and n <= LONG_CHARS:
+        notices = len({m.lower() for m in NOTICE.findall(b.text)})
+        if notices > 1 or (notices and stop < STOP_HIGH) or (n < SHORT_CHARS and _is_bar(b.text, words)):
+            return "out"
+    if n < SHORT_CHARS:
+        return "bad" if b.links and not prior else "short"
+    if stop >= STOP_HIGH:
+        return "good" if n > LONG_CHARS else "near"
+    if stop >= STOP_LOW or n > LONG_CHARS:
+        return "near"
+    return "short" if prior else "bad"
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Blocks of the article, in page order."""
     marked = any(b.inside and not b.outside for b in blocks)
     for b in blocks:
-        n = len(b.text)
-        density = b.links / n
-        if b.outside or (marked and not b.inside):
-            b.label = "bad"
-        elif marked:
-            b.label = "bad" if density > MAX_LINK_DENSITY and not b.heading and n < LONG_CHARS else "good"
-        elif density > MAX_LINK_DENSITY:
-            b.label = "bad"
-        else:
-            words = WORD.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-            if n < SHORT_CHARS:
-                b.label = "bad" if b.links else "short"
-            elif stop >= STOP_HIGH:
-                b.label = "good" if n > LONG_CHARS else "near"
-            elif stop >= STOP_LOW:
-                b.label = "near"
-            else:
-                b.label = "bad" if n <= LONG_CHARS else "near"
-            if "©" in b.text[:3] or "©" in b.text[-3:]:
-                b.label = "bad"
-    _inherit(blocks)
-    return [b for b in blocks if b.label == "good"]
+        b.prior = marked
+        b.label = "out" if b.outside or (marked and not b.inside) else _first_pass(b, marked)
+    voting = [b for b in blocks if not marked or b.label != "out"]
+    for b in voting:
+        b.label = "bad" if b.label == "out" else b.label
+    _inherit(voting)
+    return [b for b in voting if b.label == "good"]
 
 
 def _inherit(blocks: list[Block]) -> None:
@@ -251,7 +307,9 @@ def _inherit(blocks: list[Block]) -> None:
         if label == "short":
             sides = {near_before[i], near_after[i]}
             if b.heading:
-                label = "good" if near_after[i] == "good" else "bad"
+                label = "good" if near_after[i] == "good" or (b.prior and near_after[i] is None and not b.links) else "bad"
+            elif b.prior:
+                label = "good" if "good" in sides or sides == {None} else "bad"
             else:
                 label = "good" if sides == {"good"} else "bad"
         elif label == "near":

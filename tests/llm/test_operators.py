@@ -174,6 +174,18 @@ def test_main_text(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_both_passes_inside_the_mark():
+    x = "The cat that was in the house and the dog with it are of the same age as you would think, and they have been there for all of their lives."
+    bars = "<p>By Jane Doe | 3 May 2024</p>", "<div>Share Tweet Email Print</div>", "<p>Sign up for our newsletter. By going on you agree to our terms of use.</p>"
+    page = f"<article><h1>Title</h1>{bars[0]}<p>{x} {x}</p><p>A short one.</p>{bars[1]}<p>{x}</p>{bars[2]}<p>So it ends</p><article class='comment'><p>{x} {x}</p></article></article>"
+    assert pages.main_text(page) == f"Title\n{x} {x}\nA short one.\n{x}\nSo it ends"
+    after = f"<article class='post tag-reviews'><p>{x}</p></article><section><article id='comment-7'><p>{x} {x}</p></article></section>"
+    assert pages.main_text(after) == x
+    # link lists and unknown languages
+    assert pages.main_text(f"<main><p>{x} {x}</p><h2>More</h2><ul><li><a href=a>One thing</a></li><li><a href=b>Another</a></li></ul></main>") == f"{x} {x}"
+    assert pages.main_text("<article><h1>Kot</h1><p>Kot stoi.</p></article>") == "Kot\nKot stoi."
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(c) for c in rng.normal(0, 0.2, 8)]) for i in range(300)]
