@@ -21,9 +21,9 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_katz_backoff")
 def katz_backoff(spark, sf_dir):
-    """Log-probability of every text under a model of four fifths of the documents."""
+    """Log-probability of every text under a model of order 3 of four fifths of the documents."""
     docs = table(spark, sf_dir, "documents")
-    scores, _ = katz.katz_scores(docs, crc_mod("doc_id", 5) == 1)
+    scores, _ = katz.katz_scores(docs, crc_mod("doc_id", 5) == 1, order=3)
     return scores
 
 

@@ -156,6 +156,50 @@ def test_katz(docs, empty):
     assert {(r.n_known, r.train_tokens, r.score) for r in alone} == {(0, 0, 0.0)}
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_recursion(docs, order):
+    """Longer contexts are evaluated recursively; probabilities of a context add up to one."""
+    scores, model = katz.katz_scores(docs, crc_mod("doc_id", 5) == 1, order=order)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sequences = [(i, [*["<s>"] * (order - 1), *WORD.findall((t or "").translate(lower)), None]) for i, t, *_ in corpus()]
+    count = {k: collections.Counter() for k in range(1, order + 1)}
+    for i, s in sequences:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            for k in count:
+                count[k].update(tuple(s[j - k + 1 : j + 1]) for j in range(order - 1, len(s)))
+    found = {k: katz.good_turing(collections.Counter(c.values())) for k, c in count.items()}
+    d = lambda k, r: float(found[k](np.array([r]))[0])
+    n = sum(count[1].values())
+    left = n - sum(d(1, r) for r in count[1].values())
+    mass, unknown = (n, left / n) if left > 0 else (n + 1, 1 / (n + 1))
+    after = {k: collections.defaultdict(list) for k in count}
+    for k, c in count.items():
+        for gram, r in c.items():
+            after[k][gram[:-1]].append((gram, r))
+    back = {}
+
+    def p(gram):
+        k = len(gram)
+        if k == 1:
+            return d(1, count[1][gram]) / mass if gram in count[1] else unknown
+        own = after[k].get(gram[:-1])
+        if not own:
+            return p(gram[1:])
+        if gram[:-1] not in back:
+            c, given = sum(r for _, r in own), sum(d(k, r) for _, r in own)
+            total = c + (c - given < 1e-9 * c)
+            back[gram[:-1]] = total, (1 - given / total) / (1 - sum(p(g[1:]) for g, _ in own))
+        total, alpha = back[gram[:-1]]
+        return d(k, count[k][gram]) / total if gram in count[k] else alpha * p(gram[1:])
+
+    for c in [("<s>",) * (order - 1), ("x",) * (order - 1), ("never",) * (order - 1)]:
+        assert math.isclose(sum(p((*c, *w)) for w in count[1]) + p((*c, "never seen")), 1, rel_tol=1e-9)
+    want = sorted((-1 if i is None else i, len(s) - order + 1, round(sum(math.log10(p(tuple(s[j - order + 1 : j + 1]))) for j in range(order - 1, len(s))), 6)) for i, s in sequences)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.score, 6)) for r in scores.collect()) == want
+    for k in range(1, order + 1):
+        assert model["grams"][k].agg(F.count("*"), F.sum("n")).first()[:] == (len(count[k]), n)
+
+
 def test_main_text(spark):
     x = "The cat that was in the house and the dog with it are of the same age as you would think, and they have been there for all of their lives. "
     html = [
