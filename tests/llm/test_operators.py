@@ -200,6 +200,23 @@ def test_katz_recursion(docs, order):
         assert model["grams"][k].agg(F.count("*"), F.sum("n")).first()[:] == (len(count[k]), n)
 
 
+def test_katz_of_one_repeated_word(spark):
+    """A word pair that is most of the corpus is counted before the shuffle and spread over tasks."""
+    rows = [(i, "a " * 200, None, None, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    scores, _ = katz.katz_scores(docs, F.lit(False))
+    got = scores.collect()
+    assert sorted(r.doc_id for r in got) == list(range(60)) and {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(201, 201, 201 * 60)}
+    pairs = {("<s>", "a"): 60, ("a", "a"): 199 * 60, ("a", None): 60}
+    total = lambda c: sum(n for (b, _), n in pairs.items() if b == c) + (1)  # noqa: E731 (nothing is discounted: one token is given away)
+    want = sum(math.log10(n / total(c)) * {("a", "a"): 199}.get((c, w), 1) for (c, w), n in pairs.items())
+    assert all(math.isclose(r.score, want, rel_tol=1e-9) for r in got)
+    plan = scores._jdf.queryExecution().toString()
+    assert "salt" in plan and "blob" not in plan
+    spread = katz.count_texts(docs.withColumn("held_out", F.lit(False)), 2).groupBy("id").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    assert {(r.n, r.times) for r in spread.collect()} == {(60, 60), (60, 199 * 60)}
+
+
 def test_main_text(spark):
     x = "The cat that was in the house and the dog with it are of the same age as you would think, and they have been there for all of their lives. "
     html = [
