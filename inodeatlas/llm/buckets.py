@@ -1,9 +1,9 @@
 """Length buckets of least padding, and batches with a token budget inside each bucket.
 
-The histogram of lengths is global: a grouped count. Lengths up to ``EXACT`` are kept as they are,
-longer ones are rounded up to 1/128 of their power of two, so the histogram has at most a few
-thousand rows however many documents there are. Dynamic programming over it finds the boundaries
-of at most ``buckets`` buckets with the least padding, exactly, on that grid.
+The histogram of lengths is global: a grouped count of all lengths as they are, with at most as many
+rows as the longest text has tokens, however many documents there are. Dynamic programming over it
+finds the boundaries of at most ``buckets`` buckets with the least padding, exactly, by divide and
+conquer over the cuts.
 
 Within a bucket every document takes the room of the bucket's boundary; a batch holds as many as
 the budget allows, one at least. Documents are numbered inside a bucket without gathering it: by
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-EXACT = 1024
 SLICE = 50_000
 
 
@@ -33,13 +32,6 @@ def word_tokens(text_col: str = "text") -> Column:
     return (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def grid(length: Column) -> Column:
-    """The length as the histogram has it, never smaller than it is."""
-    step = F.pow(F.lit(2.0), F.length(F.bin(length - 1)) - 8).cast("long")
-    over = F.pmod(length, F.greatest(step, F.lit(1).cast("long")))
-    return F.when((length <= EXACT) | (over == 0), length).otherwise(length - over + step)
-
-
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` ranges of ``lengths`` (rising) with the least total padding."""
     n = len(lengths)
@@ -53,13 +45,18 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
     choice = []
     for _ in range(min(buckets, n)):
         new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        for start in range(1, n + 1, 256):
-            ends = np.arange(start, min(start + 256, n + 1))
-            i = np.arange(ends[-1])
-            cost = best[None, : ends[-1]] + length[ends - 1][:, None] * (many[ends][:, None] - many[i][None, :]) - (total[ends][:, None] - total[i][None, :])
-            cost[i[None, :] >= ends[:, None]] = np.inf
-            at = cost.argmin(axis=1)
-            new[ends], cut[ends] = cost[np.arange(len(ends)), at], at
+        open_ = [(1, n, 0, n - 1)]  # the best cut rises with the end: halve the ends, and the cuts with them
+        while open_:
+            first, last, low, high = open_.pop()
+            end = (first + last) // 2
+            i = np.arange(low, min(high, end - 1) + 1)
+            cost = best[i] + length[end - 1] * (many[end] - many[i]) - (total[end] - total[i])
+            at = int(cost.argmin())
+            new[end], cut[end] = cost[at], low + at
+            if first < end:
+                open_.append((first, end - 1, low, low + at))
+            if end < last:
+                open_.append((end + 1, last, low + at, high))
         choice.append(cut)
         best = new
         if best[n] <= 0:
@@ -83,7 +80,7 @@ def pack(df: DataFrame, n_tokens: Column | None = None, buckets: int = 24, budge
         df.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")),
         "lengths",
     )
-    histogram = rows.groupBy(grid(F.col("n_tokens")).alias("room")).count().collect()  # bounded by the grid
+    histogram = rows.groupBy("n_tokens").count().collect()  # bounded by the longest text
     histogram.sort()
     sizes = [(int(r[0]), int(r[1])) for r in histogram]
     bounds = best_boundaries([s for s, _ in sizes], [c for _, c in sizes], buckets)
@@ -94,7 +91,6 @@ def pack(df: DataFrame, n_tokens: Column | None = None, buckets: int = 24, budge
         held = sum(c for s, c in sizes if low < s <= bound)
         base.append(first)
         first += math.ceil(held / max(1, budget // bound))
-    # boundaries lie on the grid, so a length fits one exactly if its grid value does
     limits = F.array(*(F.lit(b).cast("long") for b in bounds or [0]))
     placed = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("n_tokens"))))
     placed = placed.withColumn("slice", F.pmod("h", F.lit(slices)))

@@ -342,6 +342,24 @@ def test_length_buckets(docs, empty):
     assert buckets.pack(empty).count() == 0
 
 
+def test_bounds_of_long_texts_are_lengths(spark):
+    rng = random.Random(4)
+    lengths = [rng.randint(1030, 9000) for _ in range(90)]
+    df = spark.createDataFrame([(i, "", None, None, n) for i, n in enumerate(lengths)], SCHEMA)
+    rows = buckets.pack(df, F.col("n_chars"), buckets=5, budget=20_000).collect()
+    most = collections.defaultdict(int)
+    for r in rows:
+        most[r.bucket] = max(most[r.bucket], r.n_tokens)
+    assert len(most) == 5 and all(r.bucket_tokens == most[r.bucket] for r in rows)
+    some = sorted(set(lengths))
+    least = {(0, 0): 0}
+    for k in range(1, 6):  # brute force over all cuts
+        for j in range(k, len(some) + 1):
+            cost = lambda i: sum(some[j - 1] - n for n in lengths if some[i] <= n <= some[j - 1])  # noqa: E731, B023
+            least[k, j] = min(least[k - 1, i] + cost(i) for i in range(k - 1, j) if (k - 1, i) in least)
+    assert sum(r.bucket_tokens - r.n_tokens for r in rows) == least[5, len(some)]
+
+
 def jaccard_classes(rows):
     sets = []
     for _, text, *_ in rows:
