@@ -5,6 +5,9 @@ has ``COMPONENTS`` components. Each shingle sends exponential arrivals at the ra
 the order of time, each to a random component; a component keeps its earliest arrival, and a
 shingle stops as soon as its next arrival comes later than what all components have (early
 termination). The chance that two texts share a component is their probability Jaccard similarity.
+Repetition can make that less than the Jaccard similarity of the sets, so texts that repeat shingles
+have a second signature with all weights 1 and the bands of both; others have the same one twice.
+Two texts with a set similarity of 0.8 share a band of it with a chance of 99.995%.
 
 ``BANDS`` bands of components are buckets. Texts of a bucket are candidates; pairs are verified by
 the exact Jaccard similarity of their shingle sets (``SIMILARITY`` or more), and verified pairs
@@ -111,6 +114,21 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def text_bands(row: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, band hash) of the texts with words, by text: of the weighted signature and of that with all weights 1."""
+    some, again = np.unique(row), np.unique(row[count > 1])
+    both = [(some, band_hashes(signatures(row, value, count, texts))[some])]
+    if len(again):
+        own = np.isin(row, again)
+        both.append((again, band_hashes(signatures(np.searchsorted(again, row[own]), value[own], np.ones(own.sum(), np.int64), len(again)))))
+    text = np.concatenate([np.repeat(t, BANDS) for t, _ in both])
+    band = np.concatenate([b.ravel() for _, b in both])
+    order = np.lexsort((band, text))
+    text, band = text[order], band[order]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (band[1:] != band[:-1])]) if len(text) else np.zeros(0, bool)
+    return text[new], band[new]
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, k1, k2, text): the id and a 128-bit hash of the text; null is the empty text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -123,11 +141,9 @@ def banded(keyed: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             row, value, count = shingles(batch.column(3))
-            bands = band_hashes(signatures(row, value, count, batch.num_rows)).view(np.int64)
-            some = np.zeros(batch.num_rows, bool)
-            some[row] = True
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[some].ravel(), pa.int64()))
+            text, band = text_bands(row, value, count, batch.num_rows)
+            offsets = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], ["doc", "k1", "k2", "bands"])
 
     return keyed.mapInArrow(run, "doc long, k1 long, k2 long, bands array<long>")

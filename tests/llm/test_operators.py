@@ -402,6 +402,25 @@ def test_open_buckets_are_compared_in_full(spark, monkeypatch):
     assert {tuple(r) for r in nearcopies.verify(pairs, table).collect()} == {(i, i + 1) for i in range(29)}
 
 
+def test_repetition_does_not_hide_near_copies(spark):
+    """The same shingles, half of them a hundred times in one text: every pair shares a band."""
+    rng = random.Random(3)
+    row, value, count = [], [], []
+    for pair in range(200):
+        shingle = sorted(rng.getrandbits(64) for _ in range(100))
+        for text in (0, 1):
+            row += [2 * pair + text] * 100
+            value += shingle
+            count += [100 if text and k % 2 else 1 for k in range(100)]
+    text, band = nearcopies.text_bands(np.array(row), np.array(value, np.uint64), np.array(count), 400)
+    bands = collections.defaultdict(set)
+    for t, b in zip(text.tolist(), band.tolist()):
+        bands[t].add(b)
+    assert all(bands[2 * p] & bands[2 * p + 1] for p in range(200))
+    weighted = nearcopies.band_hashes(nearcopies.signatures(np.array(row), np.array(value, np.uint64), np.array(count), 400))
+    assert any(not set(weighted[2 * p].tolist()) & set(weighted[2 * p + 1].tolist()) for p in range(200))  # lost without the second one
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     value = rng.integers(1, 2**63, 300).astype(np.uint64)
