@@ -15,6 +15,7 @@ for every text, and the verdict is left to the base rules.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, fitted, mix, range_sums, sums, unpacked, words_of
 
 BITS = 18
-MAX_ROWS = 600
+MAX_ROWS = 1500
+CHUNK = 500_000  # entries of the fit at a time
 THRESHOLD = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -101,34 +103,39 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rate:
     if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
         held[:] = False
 
-    def stack(keep):
-        own = [rows[i] for i in np.flatnonzero(keep)]
-        starts = np.concatenate([[0], np.cumsum([len(r[1]) for r in own])])
-        return np.concatenate([r[1] for r in own]).astype(np.int32), np.concatenate([r[2] for r in own]).astype(np.float32), starts
+    def chunks(keep):
+        """(rows, row of each entry among them, slots, values) of some thousand entries at a time."""
+        own, begin = np.flatnonzero(keep), 0
+        sizes = np.array([len(rows[i][1]) for i in own])
+        edges = np.cumsum(sizes) // CHUNK
+        for end in [*(np.flatnonzero(edges[1:] != edges[:-1]) + 1).tolist(), len(own)]:
+            some = [rows[i] for i in own[begin:end]]
+            yield slice(begin, end), np.repeat(np.arange(len(some)), sizes[begin:end]), np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some])
+            begin = end
 
-    slots, values, starts = stack(~held)
     y = labels[~held]
-    at = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
-    used, local = np.unique(slots, return_inverse=True)
-    local = local.astype(np.int32)
-    del slots
-    w, bias = np.zeros(len(used)), 0.0
-    seen, seen_bias = np.full(len(used), 1e-8), 1e-8
+    w, bias = np.zeros(1 << BITS), 0.0
+    seen, seen_bias = np.full(len(w), 1e-8), 1e-8
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for _ in range(rounds):  # AdaGrad over all rows
-        p = _sigmoid(bias + np.bincount(at, values * w[local], minlength=len(y)))
-        error = (p - y) * share
-        gradient = np.bincount(local, error[at] * values, minlength=len(used)) + decay * w
+        gradient, error_sum = decay * w, 0.0
+        for own, at, slots, values in chunks(~held):
+            p = _sigmoid(bias + np.bincount(at, values * w[slots], minlength=own.stop - own.start))
+            error = (p - y[own]) * share[own]
+            gradient += np.bincount(slots, error[at] * values, minlength=len(w))
+            error_sum += error.sum()
         seen += gradient**2
         w -= rate * gradient / np.sqrt(seen)
-        seen_bias += error.sum() ** 2
-        bias -= rate * error.sum() / np.sqrt(seen_bias)
-    out["weights"][used] = w
+        seen_bias += error_sum**2
+        bias -= rate * error_sum / np.sqrt(seen_bias)
+    out["weights"][:] = w
     out["bias"] = float(bias)
     # Platt: held-back rows give slope and shift, with smoothed targets
-    slots, values, starts = stack(held if held.any() else ~held)
-    y = labels[held] if held.any() else y
-    x = bias + range_sums(out["weights"][slots] * values, starts)
+    held = held if held.any() else ~held
+    y = labels[held]
+    x = np.full(len(y), bias)
+    for own, at, slots, values in chunks(held):
+        x[own] += np.bincount(at, out["weights"][slots] * values, minlength=own.stop - own.start)
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     a, b = 1.0, 0.0
@@ -173,8 +180,9 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     # the drawn ids are bounded by max_rows of each class, so texts need not be shuffled for them
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     def learn(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        rows.sort(key=lambda r: (r[0], r[2], r[3]))
+        # slots and values stay where Arrow has them
+        rows = [(*(c[i].as_py() for c in b.columns[:2]), *(c[i].as_buffer() for c in b.columns[2:])) for b in batches for i in range(b.num_rows)]
+        rows.sort(key=lambda r: (r[0], hashlib.sha256(r[2]).digest(), hashlib.sha256(r[3]).digest()))
         return fit([(q, np.frombuffer(slots, "<i4"), np.frombuffer(values, "<f4")) for _, q, slots, values in rows])
 
     return fitted(sample.mapInArrow(run, "doc_id long, quality int, slots binary, vals binary"), learn)

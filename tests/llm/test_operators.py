@@ -454,6 +454,16 @@ def test_quality(spark, docs, empty):
     assert quality.train(texts, labels.limit(0))["bias"] == 0.0
 
 
+def test_bounds_and_chunks_of_the_fit(monkeypatch):
+    assert quality.MAX_ROWS == 1500 and langid.MAX_CHARS == 1_500_000
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, rng.choice(900, 30, replace=False).astype("<i4") + 300 * (i % 2), rng.random(30, np.float32)) for i in range(80)]
+    whole = quality.fit(rows)
+    monkeypatch.setattr(quality, "CHUNK", 70)
+    parts = quality.fit(rows)
+    assert np.allclose(whole["weights"], parts["weights"], atol=1e-5) and np.allclose([whole["bias"], whole["a"], whole["b"]], [parts["bias"], parts["a"], parts["b"]], rtol=1e-4)
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(6)
     say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40))
