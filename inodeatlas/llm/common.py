@@ -80,6 +80,19 @@ def folder_of(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int):
+    """Slices of a batch with at most ``most`` bytes in a string column, one row at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def is_local(uri: str) -> bool:
     return uri.startswith("file:") or "://" not in uri
 
