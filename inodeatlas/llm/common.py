@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import pickle
 import uuid
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, ship_package
 
 U64 = np.uint64
-_unpacked: dict[int, object] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -107,17 +108,35 @@ def fitted(rows: DataFrame, fit):
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(batches)))], pa.binary())], ["model"])
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.repartition(1).mapInArrow(lean(run), "model binary").first()
     return pickle.loads(made[0]) if made else fit([])
 
 
-def unpacked(broadcast):
-    """The content of a broadcast pickle, unpickled once in each worker."""
-    key = id(broadcast)
-    if key not in _unpacked:
-        _unpacked.clear()
-        _unpacked[key] = (broadcast, pickle.loads(broadcast.value))
-    return _unpacked[key][1]
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: workers live on, and share that of an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def lean(run):
+    """A function of Arrow batches that gives its memory back when it has ended."""
+
+    def ended(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ended
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -174,7 +193,6 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
         index = index[keep]
     hashes = np.fromiter(map(word_hash, unique.to_pylist()), dtype=U64, count=len(unique))
-    pa.default_memory_pool().release_unused()  # workers live on and share the memory of an executor
     return Words(index, starts, unique, hashes)
 
 

@@ -23,7 +23,6 @@ give one row each.
 
 from __future__ import annotations
 
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fitted, mix, range_sums, unit, unpacked, words_of
+from .common import U64, fitted, give_back, lean, mix, range_sums, unit, words_of
 
 ORDER = 5
 MAX_CHARS = 1_500_000
 WORDS_AT_ONCE = 20_000
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 MAX_CALIBRATION = 1500
 FALSE_REJECTION = 0.001
 LEAST_LIMIT = 8.0
@@ -261,7 +260,7 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
                 ["lang", "word", "n"],
             )
 
-    counted = rows.mapInArrow(sample, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(sample), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     def learn_words(batches):
         samples: dict[str, dict[str, int]] = {}
         for batch in batches:
@@ -275,10 +274,10 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
     model = fitted(counted, learn_words)
     if not model["langs"]:
         return model
-    packed = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    packed = documents.sparkSession.sparkContext.broadcast(model)
 
     def calibrate(batches):
-        scorer = Scorer(unpacked(packed))
+        scorer = Scorer(packed.value)
         code = {g: i for i, g in enumerate(scorer.model["langs"])}
         for batch in batches:
             langs = batch.column(2).to_pylist()
@@ -291,7 +290,7 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
             ok = (chars > 0) & (totals.argmax(axis=1) == own)  # others are mislabelled or noise
             yield pa.RecordBatch.from_arrays([pa.array(own[ok], pa.int32()), pa.array(chars[ok], pa.int64()), pa.array(entropy[ok], pa.float64())], ["lang", "chars", "entropy"])
 
-    seen = rows.mapInArrow(calibrate, "lang int, chars long, entropy double").collect()
+    seen = rows.mapInArrow(lean(calibrate), "lang int, chars long, entropy double").collect()
     lang, chars, entropy = (np.array([r[i] for r in seen], dtype=t) for i, t in enumerate((np.int64, np.int64, np.float64)))
     worst = []
     for j in range(len(model["langs"])):
@@ -310,12 +309,12 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, max_chars: in
 
 def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, accepted) of every row, and the columns named in ``keep``."""
-    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
+    packed = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     fields = list(df.select(*keep).schema) if keep else []
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches):
-        scorer = Scorer(unpacked(packed))
+        scorer = Scorer(packed.value)
         for batch in batches:
             names, score, entropy, accepted = predict(batch.column(1), scorer)
             yield pa.RecordBatch.from_arrays(
@@ -324,15 +323,17 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             )
 
     source = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
-    return source.mapInArrow(run, f"doc_id long, lang_pred string, score double, entropy double, accepted boolean{extra}")
+    return source.mapInArrow(lean(run), f"doc_id long, lang_pred string, score double, entropy double, accepted boolean{extra}")
 
 
 def accepts(model: dict, spark):
     """A column function: whether the language of a text is one of the learnt ones."""
-    packed = spark.sparkContext.broadcast(pickle.dumps(model))
+    packed = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
-        return pa.array(predict(texts, Scorer(unpacked(packed)))[3], pa.bool_())
+        found = pa.array(predict(texts, Scorer(packed.value))[3], pa.bool_())
+        give_back()
+        return found
 
     return accepted

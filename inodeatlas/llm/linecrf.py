@@ -25,7 +25,6 @@ without rows of both classes every score is 0.5; an empty table gives an empty o
 from __future__ import annotations
 
 import hashlib
-import pickle
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_slices, fitted, mix, range_sums, unpacked, words_of
+from .common import U64, byte_slices, fitted, lean, mix, range_sums, words_of
 
 BITS = 14
 MAX_ROWS = 1500
@@ -129,7 +128,8 @@ def line_features(texts: pa.Array) -> Lines:
     word_data, word_edges = _raw(words.unique.cast(pa.large_string()))
     long_ = _counts((word_data & 0xC0) != 0x80, word_edges)
     symbol = _counts(_KIND[word_data] == SYMBOL, word_edges) > 0
-    mark = _KIND[word_data[word_edges[1:] - 1]] == MARK if len(long_) else symbol
+    mark, some = np.zeros(len(long_), bool), np.flatnonzero(np.diff(word_edges))
+    mark[some] = _KIND[word_data[word_edges[1:][some] - 1]] == MARK
     ends = edges[1:] - 1
     filled = np.flatnonzero(np.diff(edges) > 0)
     closes, opens = np.zeros(n), np.zeros(n)
@@ -162,7 +162,6 @@ def line_features(texts: pa.Array) -> Lines:
     for i, (name, limits) in enumerate(FEATURES.items()):
         bins[:, i] = i * BINS + np.searchsorted(np.array(limits, np.float64), values[name].astype(np.float64), side="left")
     slots = (mix(h) >> U64(64 - BITS)).astype(np.int32)
-    pa.default_memory_pool().release_unused()
     return Lines(np.searchsorted(text, np.arange(len(texts) + 1)), np.maximum(letters, 1), bins, starts, slots)
 
 
@@ -364,7 +363,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, max_rows: int
         return fit(joined(parts), np.array([r[1] for r in rows]), (sizes.get(0, 0), sizes.get(1, 0)))
 
     schema = "doc_id long, quality int, " + ", ".join(f"{f} binary" for f in Lines._fields)
-    return fitted(sample.mapInArrow(run, schema), learn_from)
+    return fitted(sample.mapInArrow(lean(run), schema), learn_from)
 
 
 def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
@@ -373,16 +372,16 @@ def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
 
 def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every row."""
-    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 2^14 weights and some hundred more
+    packed = df.sparkSession.sparkContext.broadcast(model)  # 2^14 weights and some hundred more
 
     def run(batches):
-        own = unpacked(packed)
+        own = packed.value
         for whole in batches:
             for batch in byte_slices(whole, 1, SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), own), pa.float64())], ["doc_id", "score"])
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return source.mapInArrow(lean(run), "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def line_labels(texts: pa.Array, model: dict) -> list[list[tuple[str, float]]]:

@@ -27,7 +27,6 @@ without a term, or without a scoring document, have no rows; empty tables give n
 from __future__ import annotations
 
 import math
-import pickle
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix, release, stored, unpacked, words_of
+from .common import byte_slices, lean, mix, release, stored, words_of
 
 BLOCK_TERMS = 50_000
 CELLS = 4_000_000  # of the matrix of accumulators
@@ -145,16 +144,16 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(starts), names.take(pa.array(word)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["item_row", "item_id", "terms"])
 
-    return source.mapInArrow(run, "item_row long, item_id long, terms array<string>").filter(F.size("terms") > 0)
+    return source.mapInArrow(lean(run), "item_row long, item_id long, terms array<string>").filter(F.size("terms") > 0)
 
 
 def postings(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, terms, tfs) of every document with a term; ``terms`` are places in ``vocabulary``."""
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(vocabulary))
+    packed = docs.sparkSession.sparkContext.broadcast(vocabulary)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        wanted = pa.array(unpacked(packed), pa.large_binary())
+        wanted = pa.array(packed.value, pa.large_binary())
         for whole in batches:
             for batch in byte_slices(whole, 1, SLICE):
                 words = terms_of(batch.column(1))
@@ -168,9 +167,8 @@ def postings(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str)
                 starts = pa.array(np.append(np.searchsorted(row, full), len(row)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (pair % (len(wanted) + 1), tf)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(counts[full].astype(np.int64)), *lists], ["doc_id", "n", "terms", "tfs"])
-                pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(run, "doc_id long, n long, terms array<int>, tfs array<int>")
+    return source.mapInArrow(lean(run), "doc_id long, n long, terms array<int>, tfs array<int>")
 
 
 def corpus_sums(posted: DataFrame, terms: int) -> tuple[int, int, np.ndarray]:
@@ -185,7 +183,7 @@ def corpus_sums(posted: DataFrame, terms: int) -> tuple[int, int, np.ndarray]:
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-2, -1])), pa.array(np.append(df[seen], [docs, length]))], ["term", "n"])
 
-    sums = posted.select("n", "terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = posted.select("n", "terms").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = dict(sums.collect())  # a row for each term of the block
     return found.get(-2, 0), found.get(-1, 0), np.array([found.get(t, 0) for t in range(terms)], np.int64)
 
@@ -205,10 +203,10 @@ def _best(item, score, doc, k):
 
 def _ranked(posted: DataFrame, plan: dict, kth: np.ndarray, k: int) -> DataFrame:
     """(item, doc_id, score): the best rows of each task with a score of ``kth`` at least."""
-    packed = posted.sparkSession.sparkContext.broadcast(pickle.dumps((plan, kth)))
+    packed = posted.sparkSession.sparkContext.broadcast((plan, kth))
 
     def run(batches):
-        own, low = unpacked(packed)
+        own, low = packed.value
         graph, weight, n_docs, length = own["graph"], own["weight"], own["docs"], own["length"]
         low = np.maximum(low, 1)  # scores of 0 do not count
         held = [np.zeros(0, np.int64)] * 3
@@ -232,7 +230,7 @@ def _ranked(posted: DataFrame, plan: dict, kth: np.ndarray, k: int) -> DataFrame
         item, score, doc = held
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(doc, mask=doc == LAST_ID), pa.array(score)], ["item", "doc_id", "score"])
 
-    return posted.select("doc_id", "n", "terms", "tfs").mapInArrow(run, "item long, doc_id long, score long")
+    return posted.select("doc_id", "n", "terms", "tfs").mapInArrow(lean(run), "item long, doc_id long, score long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

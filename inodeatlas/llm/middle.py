@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, lean
 
 MARKS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 SLICE = 1_000_000
@@ -96,9 +96,8 @@ def fill_in_middle(df: DataFrame, seed: int = 1, cut_percent: int = 90, spm_perc
                 prefix, middle = (pc.if_else(plain, pa.scalar(None, pa.int64()), c) for c in (low, pc.subtract(high, low)))
                 columns = [ids, n, form, prefix, middle, arranged(texts, form, low, high)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
-                pa.default_memory_pool().release_unused()
 
-    return sent.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
+    return sent.mapInArrow(lean(run), "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restored(output: Column, form: Column) -> Column:

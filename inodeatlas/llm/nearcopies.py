@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, stored, table_of, unit, words_of
+from .common import U64, byte_slices, lean, mix, release, stored, table_of, unit, words_of
 
 WORDS = 5
 COMPONENTS = 125
@@ -43,6 +43,7 @@ SIMILARITY = 0.8
 ROUNDS = 3
 SMALL_BUCKET = 32
 BLOCK = 256
+SLICE = 1_000_000  # bytes of texts at a time
 
 
 def shingles(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,35 +140,36 @@ def banded(keyed: DataFrame) -> DataFrame:
     """(doc, k1, k2, bands) of every row; texts without a word have no bands."""
 
     def run(batches):
-        for batch in batches:
-            row, value, count = shingles(batch.column(3))
-            text, band = text_bands(row, value, count, batch.num_rows)
-            offsets = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band.view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], ["doc", "k1", "k2", "bands"])
+        for whole in batches:
+            for batch in byte_slices(whole, 3, SLICE):
+                row, value, count = shingles(batch.column(3))
+                text, band = text_bands(row, value, count, batch.num_rows)
+                offsets = np.searchsorted(text, np.arange(batch.num_rows + 1))
+                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band.view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], ["doc", "k1", "k2", "bands"])
 
-    return keyed.mapInArrow(run, "doc long, k1 long, k2 long, bands array<long>")
+    return keyed.mapInArrow(lean(run), "doc long, k1 long, k2 long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of rows (node, text); sorted 32-bit hashes, 64 bits have no room on disk."""
+    """(node, shingles) of rows (node, text): sorted 64-bit hashes of the different shingles."""
 
     def run(batches):
         seen = None
-        for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            row, value, _ = shingles(batch.column(1))
-            starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            keep, sets = [], []
-            for i, node in enumerate(nodes):
-                if node == seen:  # rows of one node follow each other
-                    continue
-                seen = node
-                keep.append(node)
-                sets.append(np.unique((value[starts[i] : starts[i + 1]] >> U64(32)).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+        for whole in batches:
+            for batch in byte_slices(whole, 1, SLICE):
+                row, value, _ = shingles(batch.column(1))
+                starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                keep, sets = [], []
+                for i, node in enumerate(batch.column(0).to_pylist()):
+                    if node == seen:  # rows of one node follow each other
+                        continue
+                    seen = node
+                    keep.append(node)
+                    sets.append(value[starts[i] : starts[i + 1]].astype("<u8").tobytes())  # sorted by ``shingles``
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, shingles binary")
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -189,12 +191,12 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = [
-                _jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILARITY
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                _jaccard(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) >= SIMILARITY
+                for x, y in zip(batch.column(2), batch.column(3))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,8 +215,10 @@ def components(links: DataFrame) -> DataFrame:
             step.join(jump, F.col("new") == F.col("n"), "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "class"), "classes"
         )
         changed = after.filter("new <> class").limit(1).count()
+        release(now)
         now = after.select("node", F.col("new").alias("class"))
         if not changed:
+            release(both)
             return now
 
 
@@ -257,7 +261,8 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         nodes, classes, own = (np.asarray(group.column(c)) for c in ("node", "class", "own"))
-        sets_ = [np.frombuffer(s, "<u4") for s in group.column("shingles").to_pylist()]
+        sets_ = [np.frombuffer(s.as_buffer(), "<u8") for s in group.column("shingles")]
+        order = np.argsort([len(s) for s in sets_], kind="stable")  # sizes that are too unlike follow each other
         apart = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         joined: dict[int, int] = {}
 
@@ -267,8 +272,10 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             return c
 
         out = []
-        for x in range(len(nodes)):
-            for y in range(x + 1, len(nodes)):
+        for i, x in enumerate(order.tolist()):
+            for y in order[i + 1 :].tolist():
+                if len(sets_[x]) < SIMILARITY * len(sets_[y]):
+                    break  # and so are all that are larger
                 if apart and own[x] == own[y]:
                     continue
                 cx, cy = root(int(classes[x])), root(int(classes[y]))
@@ -297,6 +304,12 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = stored(shingle_sets(texts).dropDuplicates(["node"]), "near-sets")
     none = spark.createDataFrame([], "node long, class long")
     classes, links, tried = none, [], []
+
+    def regrouped(classes, links):
+        if classes is not none:
+            release(classes)
+        return components(table_of(links))
+
     for step in range(ROUNDS):
         members = _open(_classed(buckets, classes)).drop("size")
         pairs = star_pairs(members, step)
@@ -307,16 +320,19 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if not pairs.limit(1).count():
             break
         links.append(stored(verify(pairs, sets), "near-links"))
-        classes = components(table_of(links))
+        classes = regrouped(classes, links)
     members = stored(_open(_classed(buckets, classes)), "near-open")
     pairs = small_pairs(members)
     for before in tried:
         pairs = pairs.join(before, ["a", "b"], "left_anti")
-    last = stored(verify(pairs, sets).union(block_links(members, sets)), "near-links")
-    if last.limit(1).count():
-        classes = components(table_of([*links, last]))
+    links.append(stored(verify(pairs, sets).union(block_links(members, sets)), "near-links"))
+    if links[-1].limit(1).count():
+        classes = regrouped(classes, links)
     labelled = nodes.join(classes, "node", "left").select("k1", "k2", "node", F.coalesce("class", "node").alias("class"))
-    return rows.select("doc", "k1", "k2").join(labelled, ["k1", "k2"])
+    out = stored(rows.select("doc", "k1", "k2").join(labelled, ["k1", "k2"]), "near-classes")
+    for one in (rows, nodes, buckets, sets, members, *tried, *links, *([classes] if classes is not none else [])):
+        release(one)
+    return out
 
 
 def class_rows(classed: DataFrame) -> DataFrame:
@@ -327,7 +343,7 @@ def class_rows(classed: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each class: the least id, then the least text hash."""
-    classed = stored(near_classes(df, id_col, text_col), "near-classes")
+    classed = near_classes(df, id_col, text_col)
     pick = F.struct(F.col("doc").isNull().alias("none"), "doc", "k1", "k2")
     best = classed.groupBy("class").agg(F.min(pick).alias("p")).select(F.col("p.doc").alias("_d"), F.col("p.k1").alias("_k1"), F.col("p.k2").alias("_k2"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -16,7 +16,6 @@ for every text, and the verdict is left to the base rules.
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, fitted, mix, range_sums, sums, unpacked, words_of
+from .common import U64, Words, byte_slices, fitted, give_back, lean, mix, range_sums, sums, words_of
 
 BITS = 18
 MAX_ROWS = 1500
+SLICE = 1_000_000  # bytes of texts at a time
 CHUNK = 500_000  # entries of the fit at a time
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -185,7 +185,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
         rows.sort(key=lambda r: (r[0], hashlib.sha256(r[2]).digest(), hashlib.sha256(r[3]).digest()))
         return fit([(q, np.frombuffer(slots, "<i4"), np.frombuffer(values, "<f4")) for _, q, slots, values in rows])
 
-    return fitted(sample.mapInArrow(run, "doc_id long, quality int, slots binary, vals binary"), learn)
+    return fitted(sample.mapInArrow(lean(run), "doc_id long, quality int, slots binary, vals binary"), learn)
 
 
 def statistics(texts: pa.Array, words: Words) -> list[np.ndarray]:
@@ -231,38 +231,43 @@ def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, mi
 
     ``keep`` names further columns of ``df`` to carry along.
     """
-    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 2^18 floats, whatever the input
+    packed = df.sparkSession.sparkContext.broadcast(model)  # 2^18 floats, whatever the input
     fields = [f for f in df.select(*keep).schema] if keep else []
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema = f"doc_id long, {STATS}, quality_score double{extra}"
 
     def run(batches):
-        own = unpacked(packed)
-        for batch in batches:
-            texts = batch.column(1)
-            words = words_of(texts)
-            score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
-            columns = [pa.array(c, pa.int64()) for c in statistics(texts, words)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(score, pa.float64()), *batch.columns[2:]],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality_score", *(f.name for f in fields)],
-            )
+        own = packed.value
+        for whole in batches:
+            for batch in byte_slices(whole, 1, SLICE):
+                texts = batch.column(1)
+                words = words_of(texts)
+                score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
+                columns = [pa.array(c, pa.int64()) for c in statistics(texts, words)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *columns, pa.array(score, pa.float64()), *batch.columns[2:]],
+                    ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality_score", *(f.name for f in fields)],
+                )
 
     source = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
-    scored = source.mapInArrow(run, schema)
+    scored = source.mapInArrow(lean(run), schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_score") >= threshold))
 
 
 def keeps(model: dict, spark, threshold: float = THRESHOLD, min_words: int = MIN_WORDS):
     """A column function: the verdict on a text."""
-    packed = spark.sparkContext.broadcast(pickle.dumps(model))
+    packed = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def kept(texts: pa.Array) -> pa.Array:
-        own, words = unpacked(packed), words_of(texts)
-        score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
-        failed = (words.counts < min_words) | (100 * repeated_words(words) > 50 * words.counts)
-        return pa.array(~failed & (score >= threshold), pa.bool_())
+        own, found = packed.value, [np.zeros(0, bool)]
+        for batch in byte_slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, SLICE):
+            words = words_of(batch.column(0))
+            score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
+            failed = (words.counts < min_words) | (100 * repeated_words(words) > 50 * words.counts)
+            found.append(~failed & (score >= threshold))
+        give_back()
+        return pa.array(np.concatenate(found), pa.bool_())
 
     return kept

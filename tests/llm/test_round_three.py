@@ -211,6 +211,15 @@ def test_lines_and_their_statistics():
     assert (before[[0, 3, 4, 5, 6]] == linecrf.OTHER + linecrf.BLOCK).all()
 
 
+def test_slices_of_lines():
+    texts = pa.array(["x y\nz", "  lead", None, "One two.\n\nONE TWO!!\n$$", "é è\n", "tail \t\n last"])
+    whole = linecrf.line_features(texts)
+    for a, b in itertools.combinations(range(7), 2):
+        part, lines = linecrf.line_features(texts.slice(a, b - a)), slice(whole.starts[a], whole.starts[b])
+        assert (part.bins == whole.bins[lines]).all() and (part.chars == whole.chars[lines]).all()
+        assert (part.slots == whole.slots[whole.word_starts[lines.start] : whole.word_starts[lines.stop]]).all()
+
+
 def noisy(rng, bad):
     say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
     lines = [say(rng.randint(3, 15)).capitalize() + "." for _ in range(rng.randint(2, 7))]
