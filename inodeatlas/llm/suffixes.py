@@ -17,7 +17,8 @@ suffix found in very many documents is dealt to many tasks). Neighbours are comp
 What neighbours there are across the borders of tasks is settled from the first and last suffix
 of every task.
 
-Rows with the same id and text are one document. Defined results: null and empty texts and texts
+Rows with the same id and text are one document, by 128 bits of the text; a task drops its repeats
+before the sort, so a suffix comes there once for each task that has read it. Defined results: null and empty texts and texts
 of fewer than ``length`` words have no passages; a passage repeated within one text counts; equal
 ids with other texts are other documents; of equal places the smaller (id, text hash, position)
 is the first; null ids come before others; an empty table gives no rows.
@@ -30,33 +31,36 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, partitions, release, stored, words_of
+from .common import U64, Rolling, lean, mix, partitions, release, stored, words_of
 
 LENGTH = 50
 SPAN = 21
 NO_ID = np.iinfo(np.int64).min
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SUFFIX = "fp long, ctx long, doc long, mark int, pos int, back int, ahead int"
+SUFFIX = "fp long, ctx long, doc long, mark long, mark2 long, pos int, back int, ahead int"
 ROWS_IN_TASK = 2_000_000
 # of a suffix, as far as its task can tell: whole (repeated with its surroundings), later (not the
 # first such), opens (the first such), mixed (other surroundings exist); ``place`` says which of these
 # depend on other tasks. The summary row of a task holds its first and last suffix.
 FIRST_KIND, LAST_KIND, FIRST_GROUP, LAST_GROUP, FIRST_ROW = 1, 2, 4, 8, 16
 FOUND = (
-    "part int, summary boolean, doc long, mark int, pos int, back int, ahead int, whole boolean, opens boolean, mixed boolean, place int, "
+    "part int, summary boolean, doc long, mark long, mark2 long, pos int, back int, ahead int, whole boolean, opens boolean, mixed boolean, place int, "
     "fp1 long, ctx1 long, fp2 long, ctx2 long, kinds1 int, kinds2 int"
 )
 
 
+def marks_of(text: Column) -> list[Column]:
+    """Two hashes that stand for a text: texts of one id, or without, are told apart by 128 bits."""
+    return [F.xxhash64(text).alias("mark"), F.xxhash64(F.lit("second"), text).alias("mark2")]
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, mark, text): the id with null as the least number, and a hash of the text."""
+    """(doc, mark, mark2, text): the id with null as the least number, and 128 bits of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc"), F.hash(text).alias("mark"), text.alias("text")
-    )
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc"), *marks_of(text), text.alias("text"))
 
 
 def minimisers(h: np.ndarray, starts: np.ndarray, length: int = LENGTH, span: int = SPAN):
@@ -93,7 +97,7 @@ def minimisers(h: np.ndarray, starts: np.ndarray, length: int = LENGTH, span: in
 
 def _chunks(batch, most=400_000):
     """Slices of a batch with a bounded number of characters, one text at least."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(2))).astype(np.int64)
+    sizes = np.asarray(pa.compute.binary_length(batch.column(3))).astype(np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if held and held + size > 8 * most:
@@ -104,23 +108,34 @@ def _chunks(batch, most=400_000):
         yield batch.slice(start)
 
 
+def _unseen(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows of a batch whose key is not in ``seen``, which gets them."""
+    keep = []
+    for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+        if key not in seen:
+            seen.add(key)
+            keep.append(i)
+    return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
 def suffix_table(keyed: DataFrame, length: int, span: int) -> DataFrame:
     def run(batches):
+        seen = set()  # a row that its task has had already adds no place
         for whole in batches:
-            for batch in _chunks(whole):
-                words = words_of(batch.column(2))
+            for batch in map(lambda b: _unseen(b, seen), _chunks(whole)):
+                words = words_of(batch.column(3))
                 h = mix(words.hashes)[words.index] if len(words.index) else np.zeros(0, U64)
                 text, place, back, ahead, fp, ctx, _ = minimisers(h, words.starts, length, span)
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
+                        pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), *(batch.column(i).take(take) for i in range(3)),
                         pa.array((place - words.starts[text]).astype(np.int32)), pa.array(back.astype(np.int32)), pa.array(ahead.astype(np.int32)),
                     ],
-                    ["fp", "ctx", "doc", "mark", "pos", "back", "ahead"],
+                    ["fp", "ctx", "doc", "mark", "mark2", "pos", "back", "ahead"],
                 )
 
-    return keyed.mapInArrow(run, SUFFIX)
+    return keyed.mapInArrow(lean(run), SUFFIX)
 
 
 def compare_neighbours(sorted_suffixes: DataFrame) -> DataFrame:
@@ -128,15 +143,15 @@ def compare_neighbours(sorted_suffixes: DataFrame) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        columns = [[] for _ in range(7)]
+        columns = [[] for _ in range(8)]
         for batch in batches:
             for c, column in zip(columns, batch.columns):
                 c.append(np.asarray(column))
         if not columns[0] or not sum(map(len, columns[0])):
             return
-        fp, ctx, doc, mark, pos, back, ahead = (np.concatenate(c) for c in columns)
-        same = np.concatenate([[False], np.logical_and.reduce([c[1:] == c[:-1] for c in (fp, ctx, doc, mark, pos)])])
-        fp, ctx, doc, mark, pos, back, ahead = (c[~same] for c in (fp, ctx, doc, mark, pos, back, ahead))
+        fp, ctx, doc, mark, mark2, pos, back, ahead = (np.concatenate(c) for c in columns)
+        same = np.concatenate([[False], np.logical_and.reduce([c[1:] == c[:-1] for c in (fp, ctx, doc, mark, mark2, pos)])])
+        fp, ctx, doc, mark, mark2, pos, back, ahead = (c[~same] for c in (fp, ctx, doc, mark, mark2, pos, back, ahead))
         n = len(fp)
         new_group = np.concatenate([[True], fp[1:] != fp[:-1]])
         new_kind = new_group | np.concatenate([[True], ctx[1:] != ctx[:-1]])
@@ -150,16 +165,16 @@ def compare_neighbours(sorted_suffixes: DataFrame) -> DataFrame:
         for i in range(0, len(keep), 100_000):
             k = keep[i : i + 100_000]
             m = len(k)
-            yield _batch(part, False, [doc[k], mark[k], pos[k], back[k], ahead[k], whole[k], new_kind[k], mixed[k], place[k]], [np.zeros(m, np.int64)] * 6)
+            yield _batch(part, False, [doc[k], mark[k], mark2[k], pos[k], back[k], ahead[k], whole[k], new_kind[k], mixed[k], place[k]], [np.zeros(m, np.int64)] * 6)
         ends = [fp[:1], ctx[:1], fp[-1:], ctx[-1:], kinds[:1], kinds[-1:]]
-        yield _batch(part, True, [np.array([n])] + [np.zeros(1, np.int64)] * 8, ends)
+        yield _batch(part, True, [np.array([n])] + [np.zeros(1, np.int64)] * 9, ends)
 
-    return sorted_suffixes.mapInArrow(run, FOUND)
+    return sorted_suffixes.mapInArrow(lean(run), FOUND)
 
 
 def _batch(part, summary, values, ends):
     n = len(values[0])
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32()]
     end_types = [pa.int64()] * 4 + [pa.int32()] * 2
     arrays = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, summary))]
     for value, kind in zip([*values, *ends], [*types, *end_types]):
@@ -190,11 +205,11 @@ def settle_borders(ends: list) -> list[tuple[int, bool, bool, bool, bool]]:
 
 
 def repeated_suffixes(keyed: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """(doc, mark, pos, back, ahead, whole, later, detail) of the suffixes that any other one meets."""
+    """(doc, mark, mark2, pos, back, ahead, whole, later, detail) of the suffixes that any other one meets."""
     spark = keyed.sparkSession
     suffixes = stored(suffix_table(keyed, length, span), "suffixes")
     tasks = max(partitions(spark), -(-suffixes.count() // ROWS_IN_TASK))
-    order = ["fp", "ctx", "doc", "mark", "pos"]
+    order = ["fp", "ctx", "doc", "mark", "mark2", "pos"]
     ranged = suffixes.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     found = stored(compare_neighbours(ranged), "suffix-neighbours")
     release(suffixes)
@@ -207,26 +222,25 @@ def repeated_suffixes(keyed: DataFrame, length: int = LENGTH, span: int = SPAN)
     mixed = F.col("mixed") | (at(FIRST_GROUP) & F.col("mixed1")) | (at(LAST_GROUP) & F.col("mixed2"))
     whole = F.col("whole") | first_goes_on | (at(LAST_KIND) & F.col("after"))
     return joined.select(
-        "doc", "mark", "pos", "back", "ahead", whole.alias("whole"), (whole & ~opens).alias("later"), (opens & mixed).alias("detail")
+        "doc", "mark", "mark2", "pos", "back", "ahead", whole.alias("whole"), (whole & ~opens).alias("later"), (opens & mixed).alias("detail")
     ).filter("whole or detail")
 
 
 def windows_to_compare(keyed: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
-    """(hash, doc, mark, begin, whole) of the windows of the suffixes that need to be extended."""
+    """(hash, doc, mark, mark2, begin, whole) of the windows of the suffixes that need to be extended."""
     wanted = suffixes.filter("detail").select(
-        F.col("doc").alias("d"), F.col("mark").alias("m"), F.struct("pos", "back", "ahead", "whole").alias("at")
+        F.col("doc").alias("d"), F.col("mark").alias("m"), F.col("mark2").alias("m2"), F.struct("pos", "back", "ahead", "whole").alias("at")
     )
-    lists = wanted.groupBy("d", "m").agg(F.collect_list("at").alias("at"))  # bounded by the length of the text
+    lists = wanted.groupBy("d", "m", "m2").agg(F.collect_list("at").alias("at"))  # bounded by the length of the text
 
     def run(batches):
         seen = None
         for batch in batches:
             out = []
-            docs, marks, texts, ats = (batch.column(i).to_pylist() for i in range(4))
-            for doc, mark, text, at in zip(docs, marks, texts, ats):
-                if (doc, mark) == seen:  # a repeated row
+            for doc, mark, mark2, text, at in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (doc, mark, mark2) == seen:  # a repeated row
                     continue
-                seen = (doc, mark)
+                seen = (doc, mark, mark2)
                 words = words_of(pa.array([text]))
                 rolling = Rolling(mix(words.hashes)[words.index])
                 begin = np.concatenate([np.arange(a["pos"] - a["back"], a["pos"] + a["ahead"] + 1) for a in at])
@@ -234,15 +248,16 @@ def windows_to_compare(keyed: DataFrame, suffixes: DataFrame, length: int) -> Da
                 n = len(begin)
                 out.append(
                     pa.RecordBatch.from_arrays(
-                        [pa.array(rolling.of(begin, begin + length).view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array(begin.astype(np.int32)), pa.array(whole)],
-                        ["hash", "doc", "mark", "begin", "whole"],
+                        [pa.array(rolling.of(begin, begin + length).view(np.int64)), *(pa.array(np.full(n, k, np.int64)) for k in (doc, mark, mark2)), pa.array(begin.astype(np.int32)), pa.array(whole)],
+                        ["hash", "doc", "mark", "mark2", "begin", "whole"],
                     )
                 )
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    met = keyed.join(lists, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("doc", "mark", "text", "at")
-    return met.mapInArrow(run, "hash long, doc long, mark int, begin int, whole boolean")
+    same = (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("mark2") == F.col("m2"))
+    met = keyed.join(lists, same).select("doc", "mark", "mark2", "text", "at")
+    return met.mapInArrow(lean(run), "hash long, doc long, mark long, mark2 long, begin int, whole boolean")
 
 
 def _merge(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -257,38 +272,40 @@ def _merge(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def passages(df: DataFrame, length: int = LENGTH, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, mark, spans, cuts) of every text with repeated passages.
+    """(doc, mark, mark2, spans, cuts) of every text with repeated passages.
 
     ``spans`` are the word ranges [begin, end) covered by repeated windows, ``cuts`` those covered
     by windows that an earlier place has as well; both as 32-bit pairs in a binary.
     """
     keyed = _keyed(df, id_col, text_col)
-    suffixes = stored(repeated_suffixes(keyed, length, span), "repeated-suffixes")
+    found = repeated_suffixes(keyed, length, span)
+    suffixes = stored(found, "repeated-suffixes")
+    release(found)
     windows = stored(windows_to_compare(keyed, suffixes, length), "windows")
-    here = F.struct("doc", "mark", "begin")
+    here = F.struct("doc", "mark", "mark2", "begin")
     met = windows.groupBy("hash").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last").drop("last")
     extended = windows.join(met, "hash").select(
-        "doc", "mark", "begin", (F.col("begin") + length).alias("end"), (F.col("first") < here).alias("later")
+        "doc", "mark", "mark2", "begin", (F.col("begin") + length).alias("end"), (F.col("first") < here).alias("later")
     )
     whole = suffixes.filter("whole").select(
-        "doc", "mark", (F.col("pos") - F.col("back")).alias("begin"), (F.col("pos") + F.col("ahead") + length).alias("end"), "later"
+        "doc", "mark", "mark2", (F.col("pos") - F.col("back")).alias("begin"), (F.col("pos") + F.col("ahead") + length).alias("end"), "later"
     )
-    ranges = extended.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end", "later")).alias("ranges"))
+    ranges = extended.unionByName(whole).groupBy("doc", "mark", "mark2").agg(F.collect_list(F.struct("begin", "end", "later")).alias("ranges"))
 
     def run(batches):
         for batch in batches:
             spans, cuts = [], []
-            flat = batch.column(2).flatten()
+            flat = batch.column(3).flatten()
             begin, end, later = (np.asarray(flat.field(i)) for i in range(3))
-            offsets = np.asarray(batch.column(2).offsets)
+            offsets = np.asarray(batch.column(3).offsets)
             offsets = offsets - offsets[0]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 late = later[a:b].astype(bool)
                 spans.append(np.array(_merge(begin[a:b], end[a:b]), dtype="<i4").tobytes())
                 cuts.append(np.array(_merge(begin[a:b][late], end[a:b][late]), dtype="<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array(cuts, pa.binary())], ["doc", "mark", "spans", "cuts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.binary()), pa.array(cuts, pa.binary())], ["doc", "mark", "mark2", "spans", "cuts"])
 
-    return ranges.mapInArrow(run, "doc long, mark int, spans binary, cuts binary")
+    return ranges.mapInArrow(lean(run), "doc long, mark long, mark2 long, spans binary, cuts binary")
 
 
 def span_rows(found: DataFrame) -> DataFrame:
@@ -297,7 +314,7 @@ def span_rows(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, spans, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for doc, spans, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
                 later = np.frombuffer(cuts, "<i4").reshape(-1, 2)
                 for begin, end in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist():
                     inside = np.minimum(later[:, 1], end) - np.maximum(later[:, 0], begin)
@@ -333,9 +350,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, span: int = SPAN, id_col
     rows = df.select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_doc"),
-        F.hash(text).alias("_mark"),
+        *(c.alias(f"_m{i}") for i, c in enumerate(marks_of(text))),
     )
-    joined = rows.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark")), "left")
+    joined = rows.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_m0") == F.col("mark")) & (F.col("_m1") == F.col("mark2")), "left")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
