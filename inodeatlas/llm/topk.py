@@ -13,7 +13,9 @@ sends at most k rows out of a cell.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part;
 shorter vectors count as padded with zeros; a repeated row is a row of its own; equal scores are
-ordered by id; an empty table gives no rows. Components must fit 64-bit integers after scaling.
+ordered by id; a row without an id is found as any other, with a null id, behind all ids of its
+score; where the mark of the queries is null, the row is none; an empty table gives no rows.
+Components must fit 64-bit integers after scaling, ids must lie below the largest one.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
 BLOCK = 128
+NO_ID = np.iinfo(np.int64).max  # stands for a null id
 SHARD_BLOCKS = 32  # blocks of a cell
 QUERY_GROUP = 512
+PART_BYTES = 128_000_000  # of components, in a task that makes blocks
 CELL_OUT = "query_row long, query_id long, row long, vec_id long, score long"
 BLOCKS = "block long, n int, dims int, rows binary, ids binary, width int, matrix binary, maxima binary, minima binary, asks binary"
 
@@ -54,7 +58,7 @@ def block_table(vectors: DataFrame, asks: Column, block: int = BLOCK) -> DataFra
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(0))
+            ids = np.asarray(batch.column(0))
             ask = np.asarray(batch.column(2)).astype(bool)
             comps = batch.column(1)
             lengths = np.diff(np.asarray(comps.offsets))
@@ -85,8 +89,12 @@ def block_table(vectors: DataFrame, asks: Column, block: int = BLOCK) -> DataFra
                 )
                 made += 1
 
-    ranged = vectors.select("vec_id", "comps", asks.alias("ask")).repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    return ranged.mapInArrow(run, BLOCKS)
+    ranged = vectors.select(F.coalesce("vec_id", F.lit(int(NO_ID))).alias("vec_id"), "comps", F.coalesce(asks, F.lit(False)).alias("ask"), F.xxhash64("comps").alias("h"))
+    held = vectors.agg(F.sum(8 * F.size("comps"))).first()[0] or 0
+    spark = vectors.sparkSession
+    # rows without an id, or with the same one, are dealt by their components
+    ranged = ranged.repartitionByRange(max(partitions(spark), -(-held // PART_BYTES)), "vec_id", "h").sortWithinPartitions("vec_id", "h")
+    return ranged.select("vec_id", "comps", "ask").mapInArrow(run, BLOCKS)
 
 
 SCHEMA = pa.schema(
@@ -231,4 +239,5 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     met = dealt.select("*", numbers(n_groups).alias("cell"))
     found = sent.groupBy("shard", "cell").cogroup(met.groupBy("shard", "cell")).applyInArrow(cell, CELL_OUT)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")))
-    return ranked.filter(F.col("rank") <= k).select("query_row", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    known = lambda c: F.nullif(F.col(c), F.lit(int(NO_ID))).alias(c)
+    return ranked.filter(F.col("rank") <= k).select("query_row", known("query_id"), F.col("rank").cast("int").alias("rank"), known("vec_id"), "score")
