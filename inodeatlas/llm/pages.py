@@ -18,13 +18,15 @@ languages of the stop words.
 Defined results: a null page, an empty page and a page without article text give the empty text.
 Repeated rows give one row each. Broken markup is read as browsers do in the common cases:
 unclosed paragraphs end at the next block, unknown tags are dropped, a "<" that begins no tag is
-text, an unclosed comment or script ends with the page.
+text, an unclosed comment or script ends with the page. Time grows with the length of a page, however
+its markup is broken: every scan goes on where the last one ended, or is not repeated.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,7 +83,7 @@ BAR_WORDS = frozenset(
 )
 BAR_SHARE = 0.5
 # a name, or names, after the word for "by", and perhaps a date; no sentence
-BYLINE = re.compile(r"(?:written |posted |published )?(?:by|von|par|por):? (?:[A-ZÀ-Þ][\w.'’-]*(?: (?:and|und|et|y|de|von|van))?[ ,|·•–—-]*){1,6}(?:(?:on |am |le |el )?\W*\d[\w\s.,:/|-]*)?", re.I)
+BYLINE = re.compile(r"(?:written |posted |published )?(?:by|von|par|por):? (?:[A-ZÀ-Þ][\w.'’-]*+(?: (?:and|und|et|y|de|von|van))?[ ,|·•–—-]*){1,6}(?:(?:on |am |le |el )?\W*\d[\w\s.,:/|-]*)?", re.I)
 DATE = re.compile(r"[\W\d]*(?:[^\W\d]+[\W\d]+){0,3}(?:19|20)\d\d(?:[\W\d]|am|pm|utc|gmt|uhr)*", re.I)
 NOTICE = re.compile(
     r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|privacy policy|datenschutzerklärung"
@@ -89,18 +91,80 @@ NOTICE = re.compile(
     r"|ad ?blocker|sign up|subscribe|our newsletter|unseren newsletter|notre newsletter|nuestro boletín|you agree to",
     re.I,
 )
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+# attributes whose quotes, if any, open and close values
+CLEAN = re.compile(r"(?:[^\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
+OPEN_QUOTE = re.compile(r"=\s*+([\"'])")
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WORD = re.compile(r"[^\W\d_]+")
 # closing tags that a block of this name implies for an open one
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+class Tags:
+    """The tags of a page in order, in time proportional to its length.
+
+    A tag ends at the first ">" outside quoted values; a quote opens a value only behind "=", and
+    one that is never closed counts as a letter. Where even then no ">" follows outside quotes, quotes
+    are letters from there on. A "<" without any later ">" is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def _end(self, at: int) -> int:
+        """Place of the ">" that ends the tag whose name ends at ``at``; there is one behind it."""
+        first = stop = self.page.find(">", at)
+        if first < 0 or CLEAN.fullmatch(self.page, at, first):
+            return first
+        while self.quoted:
+            if 0 <= stop < at:
+                stop = self.page.find(">", at)
+            until = stop if stop >= 0 else len(self.page)
+            found = OPEN_QUOTE.search(self.page, at, until)
+            while found and self.last[found.group(1)] < found.end():
+                found = OPEN_QUOTE.search(self.page, found.end(), until)
+            if found:
+                at = self.page.find(found.group(1), found.end()) + 1
+            elif stop >= 0:
+                return stop
+            else:
+                self.quoted = False
+        return first
+
+    def __iter__(self):
+        """Yields (begin, end, closing, name, attributes, literal): text in place of the tag, for character data."""
+        page, position = self.page, 0
+        while (begin := page.find("<", position)) >= 0:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                position = end + 3 if end >= 0 else len(page)
+                yield begin, position, "", None, "", ""
+            elif page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin + 9)
+                position = end + 3 if end >= 0 else len(page)
+                yield begin, position, "", None, "", page[begin + 9 : end if end >= 0 else len(page)]
+            elif page.startswith(("<!", "<?"), begin):
+                end = page.find(">", begin)
+                position = end + 1 if end >= 0 else len(page)
+                yield begin, position, "", None, "", ""
+            elif self.last[">"] < begin:
+                return
+            else:
+                found = TAG_NAME.match(page, begin + 1)
+                if not found:
+                    position = begin + 1
+                    continue
+                end = self._end(found.end())
+                position = end + 1
+                skip = yield begin, position, found.group(1), found.group(2).lower(), page[found.end() : end], ""
+                if skip is not None:  # the reader goes on behind it
+                    position = skip
+                    yield None
+
+
 class Block:
     __slots__ = ("text", "links", "outside", "inside", "heading", "label", "prior")
 
@@ -154,38 +218,48 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, links, outside > 0, inside > 0, heading))
             parts, linked = [], []
 
-    def pop(i):
+    def pop():
+        """Close the innermost element."""
         nonlocal outside, inside, heading
-        while len(open_) > i:
-            name, other = open_.pop()
-            outside -= other
-            inside -= name in ("article", "main")
-            if name in HEADINGS:
-                heading = False
+        name, other = open_.pop()
+        held[name] -= 1
+        if floor and floor[-1] == len(open_):
+            floor.pop()
+        outside -= other
+        inside -= name in ("article", "main")
+        if name in HEADINGS:
+            heading = False
+        return name
 
     position, length = 0, len(page)
-    while position < length:
-        found = TAG.search(page, position)
-        text = page[position : found.start()] if found else page[position:]
+    tags = iter(Tags(page))
+    unclosed: set[str] = set()  # elements whose end is not found any more
+    held: Counter = Counter()  # names in ``open_``
+    floor: list[int] = []  # places in ``open_`` of blocks that are no headings, and options
+
+    for begin, end, closing, name, attributes, literal in tags:
+        text = page[position:begin]
         if text:
             parts.append(text)
             if anchors:
                 linked.append(text)
-        if not found:
-            break
-        position = found.end()
-        closing, name, attributes = found.group(1), found.group(2), found.group(3)
+        position = end
         if name is None:
-            if found.group().startswith("<![CDATA["):
-                parts.append(entities.escape(found.group()[9:-3]))
+            if literal:
+                parts.append(entities.escape(literal))
             continue
-        name = name.lower()
         if name in OPAQUE and not closing:
             if not attributes.endswith("/") or name in ("script", "style"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, position)
-                if end is None and name == "head":
-                    end = re.compile(r"(?=<body[\s>])", re.I).search(page, position)
-                position = end.end() if end else (length if name != "head" else position)
+                found = None if name in unclosed else re.compile(rf"</{name}\s*+>", re.I).search(page, position)
+                if found is None and name not in unclosed:
+                    unclosed.add(name)
+                    if name == "head":
+                        found = re.compile(r"(?=<body[\s>])", re.I).search(page, position)
+                if found:
+                    position = found.end()
+                elif name != "head":
+                    position = length
+                tags.send(position)
             parts.append(" ")
             continue
         if name == "a":
@@ -197,33 +271,38 @@ def blocks_of(page: str) -> list[Block]:
                 linked.append(" ")
             continue
         other = not closing and name not in VOID and (name in OUTSIDE or _marks_part(attributes, name, inside > 0))
-        if name not in BLOCKS and not other and not any(n == name for n, _ in open_):
+        if name not in BLOCKS and not other and not held[name]:
             continue
         if name in BLOCKS or other or closing:
             end_block()
             anchors = 0 if name in BLOCKS else anchors
         if closing:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    pop(i)
-                    break
+            if held[name]:
+                while pop() != name:
+                    pass
             continue
-        for i in range(len(open_) - 1, -1, -1):  # an open paragraph or item ends here
-            if open_[i][0] in CLOSES.get(name, ()) or (open_[i][0] == "p" and name in BLOCKS):
-                pop(i)
-                break
-            if open_[i][0] not in HEADINGS and open_[i][0] in BLOCKS:
-                break
+        # an open paragraph or item ends here
+        innermost = open_[floor[-1]][0] if floor else None
+        if innermost in CLOSES.get(name, ()) or (innermost == "p" and name in BLOCKS):
+            while pop() != innermost:
+                pass
         if name in VOID or attributes.endswith("/"):
             continue
         # a header inside the article holds its title
         if name == "header" and inside and not _marks_part(attributes, name):
             other = False
+        if (name in BLOCKS and name not in HEADINGS) or name == "option":
+            floor.append(len(open_))
+        held[name] += 1
         open_.append((name, other))
         outside += other
         inside += name in ("article", "main")
         if name in HEADINGS:
             heading = True
+    if position < length:
+        parts.append(page[position:])
+        if anchors:
+            linked.append(page[position:])
     end_block()
     return out
 
