@@ -10,11 +10,13 @@ which has as many rows as there are files. Readers map the files into memory.
 A file is written under the name of its task attempt and the manifest names the attempt that
 succeeded, so a repeated or lost task leaves a valid set.
 
-Encoding: pieces between safe boundaries (see ``bpe``) recur, so a worker keeps the ids of short
-pieces it has met, in a table of bounded size; the library encodes the others.
+Encoding: pieces between safe boundaries (a blank between characters that are no white space) recur,
+so a worker keeps the ids of short pieces it has met, in a table of bounded size; the library
+encodes the others. The text of a special token is that token, as in a plain call of the library.
 
 Defined results: a null text is the empty text and holds the end id alone; equal ids are ordered
-by their text; null ids come first; an empty table gives no files and no rows.
+by the beginning of their text, then as they are read; null ids come first; an empty table gives no
+files and no rows.
 """
 
 from __future__ import annotations
@@ -24,21 +26,21 @@ import functools
 import itertools
 import json
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SAFE
-from .common import folder_of, is_local, local_path, shared_folder
+from .common import byte_slices, folder_of, is_local, lean, local_path, partitions, shared_folder
 
 CACHE_PIECES = 800_000
 CACHE_CHARS = 40
-TWO_SPACES = re.compile(r"\s\s")
+SLICE = 8_000_000
+FILE_BYTES = 256_000_000  # of text, in a file
 MANIFEST = "part int, path string, n_docs long, n_tokens long, width int"
 NO_ID = np.iinfo(np.int64).min
 
@@ -48,64 +50,101 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True  # their strings in a text are ordinary text
-    return coder
+    return Tokenizer.from_file(path)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte: whether a character that begins with it is surely no white space, and whether it ends ASCII one."""
+    begins, ends = np.zeros(256, bool), np.zeros(256, bool)
+    begins[0x21:0x7F] = ends[0x21:0x7F] = True
+    begins[0xC3:0xE1] = begins[0xE4:0xF8] = True  # white space beyond ASCII begins with C2, E1, E2 or E3
+    return begins, ends
+
+
+BEGINS, ENDS = _kinds()
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Places of the blanks in UTF-8 bytes that have a character other than white space on both sides."""
+    blank = np.flatnonzero(data[1:-1] == 0x20) + 1
+    blank = blank[BEGINS[data[blank + 1]]]
+    last = data[blank - 1]
+    ok = ENDS[last]
+    other = np.flatnonzero(last >= 0x80)
+    if len(other):  # the character before has two, three or four bytes
+        at = blank[other]
+        two, three, four = (np.where(at >= k, data[at - k], 0) for k in (2, 3, 4))
+        inner = (two & 0xC0) == 0x80
+        ok[other] = np.where(~inner, BEGINS[two], np.where((three & 0xC0) != 0x80, BEGINS[three], BEGINS[four]))
+    return blank[ok]
 
 
 class Encoder:
-    """The tokenizers library with a bounded table of pieces already encoded."""
+    """The tokenizers library with a bounded table of pieces already encoded.
+
+    A batch of texts is cut at all safe blanks, its different pieces come from a dictionary, those
+    not met before go to the library, and the ids of the texts are gathered from the table at once.
+    """
 
     def __init__(self, path: str):
         self.coder = _tokenizer(path)
         self.dtype = np.dtype("<u2") if self.coder.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        done = self.coder.encode_batch_fast(texts, add_special_tokens=False)
-        return [array.array(self.code, e.ids).tobytes() for e in done]  # faster than numpy for short lists
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Cuts before every blank that has other characters than white space on both sides."""
-        if not text:
-            return []
-        if TWO_SPACES.search(text) is None and not text[0].isspace() and not text[-1].isspace():
-            first, *rest = text.split(" ")
-            return [first, *map(" ".__add__, rest)]
-        out, start = [], 0
-        for found in SAFE.finditer(text):
-            out.append(text[start : found.start()])
-            start = found.start()
-        return [*out, text[start:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        missing = [p for p in set(itertools.chain.from_iterable(cut)) if p not in self.known]
-        long = {}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for piece, ids in zip(part, self.raw(part)):
-                (self.known if len(piece) <= CACHE_CHARS else long)[piece] = ids
-        known = {**self.known, **long} if long else self.known
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-
-
-def _small(batches, chars=8_000_000):
-    """Rows of a batch in runs of bounded length."""
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size > chars:
-                yield batch.column(0).slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.column(0).slice(start), texts[start:]
+        self._clear()
+
+    def _clear(self):
+        self.place: dict[str, int] = {}  # of a piece in ``at`` and ``size``, which point into ``flat``
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.flat, self.at, self.size = array.array(code), array.array("q"), array.array("q")
+
+    def raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
+            for piece, ids in zip(some, self.raw(some)):
+                self.place[piece] = len(self.at)
+                self.at.append(len(self.flat))
+                self.size.append(len(ids))
+                self.flat.extend(ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each; null is empty."""
+        if len(self.place) > CACHE_PIECES or len(self.flat) > 16 * CACHE_PIECES:
+            self._clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        full = edges[:-1][np.diff(edges) > 0]
+        # a blank at the end of a text has the next text behind it, one at the beginning has the last before it: no cuts
+        inside = np.ones(len(data) + 1, bool)
+        inside[full], inside[edges[1:] - 1] = False, False
+        cuts = cut_places(data) if len(data) > 2 else np.zeros(0, np.int64)
+        begins = np.sort(np.concatenate([full, cuts[inside[cuts]]]))
+        offsets = np.append(begins, len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self._learn([p for p in names if p not in self.place])
+        slot = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        index = slot[np.asarray(coded.indices)] if len(names) else slot
+        size, at = (np.frombuffer(x, np.int64)[index] if len(index) else index for x in (self.size, self.at))
+        ends = np.cumsum(size)
+        ids = np.frombuffer(self.flat, self.dtype)[np.repeat(at - ends + size, size) + np.arange(ends[-1])] if len(ends) else np.zeros(0, self.dtype)
+        total = np.concatenate([[0], ends])
+        bounds = np.searchsorted(begins, edges)
+        for piece in names:  # long pieces hardly come again
+            if len(piece) > CACHE_CHARS:
+                del self.place[piece]
+        return ids, np.diff(total[bounds])
+
+
+def _with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> np.ndarray:
+    """Ids of texts with the end id behind each."""
+    out = np.full(len(ids) + len(sizes), end_id, ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +155,6 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
         task = TaskContext.get()
         part = task.partitionId()
         encoder = Encoder(tokenizer_path)
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
         system, root = folder_of(folder)
         system.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{task.taskAttemptId()}"
@@ -127,20 +165,23 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
             system.open_output_stream(f"{root}/{name}.doc") as docs_file,
         ):
             offsets_file.write(np.zeros(1, "<u8").tobytes())
-            for keys, texts in _small(batches):
-                coded = encoder.encode([t or "" for t in texts])
-                lengths = np.fromiter((len(c) // encoder.dtype.itemsize + 1 for c in coded), dtype=np.int64, count=len(coded))
-                for c in coded:
-                    ids_file.write(c + end)
-                offsets_file.write((total + np.cumsum(lengths)).astype("<u8").tobytes())
-                docs_file.write(np.asarray(keys.fill_null(int(NO_ID))).astype("<i8").tobytes())
-                total += int(lengths.sum())
-                n_docs += len(coded)
+            for whole in batches:
+                for batch in byte_slices(whole, 1, SLICE):
+                    ids, sizes = encoder.encode(batch.column(1))
+                    ids_file.write(_with_ends(ids, sizes, end_id).tobytes())
+                    offsets_file.write((total + np.cumsum(sizes + 1)).astype("<u8").tobytes())
+                    docs_file.write(np.asarray(batch.column(0).fill_null(int(NO_ID))).astype("<i8").tobytes())
+                    total += int(sizes.sum()) + len(sizes)
+                    n_docs += len(sizes)
         yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "n_docs": n_docs, "n_tokens": total, "width": encoder.dtype.itemsize}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(tuple(r) for r in dealt.mapInArrow(run, MANIFEST).collect())
+    held = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows of one id, or without, are dealt by the beginning of their text, and equal ones as they are read
+    order = ["doc_id", F.substring("text", 1, 32), F.monotonically_increasing_id()]
+    dealt = source.select("*", *(c.alias(f"_{i}") for i, c in enumerate(order[1:])))
+    dealt = dealt.repartitionByRange(max(partitions(spark), -(-held // FILE_BYTES)), "doc_id", "_0", "_1").sortWithinPartitions("doc_id", "_0", "_1")
+    files = sorted(tuple(r) for r in dealt.select("doc_id", "text").mapInArrow(lean(run), MANIFEST).collect())
     rows, base = [], 0
     for part, path, n_docs, n_tokens, width in files:
         if n_docs:
@@ -151,13 +192,35 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     return manifest
 
 
-def _mapped(path: str, dtype: str) -> np.ndarray:
-    if is_local(path):
-        size = os.path.getsize(local_path(path))
-        return np.memmap(local_path(path), dtype=dtype, mode="r") if size else np.zeros(0, dtype)
-    system, inner = folder_of(path)
-    with system.open_input_file(inner) as file:
-        return np.frombuffer(file.read(), dtype)
+class Flat:
+    """A flat file: mapped where it is local, else read range by range."""
+
+    def __init__(self, path: str, dtype: str):
+        self.dtype, self.mapped, self.file = np.dtype(dtype), None, None
+        if is_local(path):
+            size = os.path.getsize(local_path(path))
+            self.mapped = np.memmap(local_path(path), dtype=dtype, mode="r") if size else np.zeros(0, dtype)
+            self.length = len(self.mapped)
+        else:
+            system, inner = folder_of(path)
+            self.file = system.open_input_file(inner)
+            self.length = self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        begin, end, _ = part.indices(self.length)
+        if self.mapped is not None:
+            return self.mapped[begin:end]
+        step = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((end - begin) * step, begin * step), self.dtype)
+
+
+def _documents(path: str, width: int, at_once: int):
+    """(ids of documents, first and last token of each, tokens from the first one's on) in runs of ``at_once``."""
+    ids, offsets, docs = Flat(f"{path}.bin", f"<u{width}"), Flat(f"{path}.off", "<u8"), Flat(f"{path}.doc", "<i8")
+    for i in range(0, docs.length, at_once):
+        own = np.array(docs[i : i + at_once])
+        edges = np.array(offsets[i : i + len(own) + 1]).astype(np.int64)
+        yield own, edges, ids[int(edges[0]) : int(edges[-1])]
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, at_once: int = 2000) -> DataFrame:
@@ -167,19 +230,15 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, at_once: int = 20
     def run(batches):
         for batch in batches:
             for path, width, base in zip(*(batch.column(c).to_pylist() for c in ("path", "width", "base"))):
-                ids = _mapped(f"{path}.bin", f"<u{width}")
-                offsets = _mapped(f"{path}.off", "<u8").astype(np.int64)
-                docs = _mapped(f"{path}.doc", "<i8")
-                for i in range(0, len(docs), at_once):
-                    own = docs[i : i + at_once]
-                    begin, after = offsets[i : i + len(own)], offsets[i + 1 : i + 1 + len(own)]
-                    raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(begin.tolist(), after.tolist())]
+                for own, edges, ids in _documents(path, width, at_once):
+                    near = (edges - edges[0]).tolist()
+                    raw = [ids[x:y].astype("<u4").tobytes() for x, y in itertools.pairwise(near)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(begin + base, pa.int64()), pa.array(after - begin, pa.int64()), pa.array(raw, pa.binary())],
+                        [pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(edges[:-1] + base, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(raw, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return manifest.repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.repartition(n, "part").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_digests(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -189,16 +248,16 @@ def read_digests(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, width, base in zip(*(batch.column(c).to_pylist() for c in ("path", "width", "base"))):
-                ids = _mapped(f"{path}.bin", f"<u{width}")
-                offsets = _mapped(f"{path}.off", "<u8").astype(np.int64)
-                docs = np.array(_mapped(f"{path}.doc", "<i8"))
-                crc = np.fromiter((zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in itertools.pairwise(offsets.tolist())), dtype=np.int64, count=len(docs))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(offsets[:-1] + base, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return manifest.repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                for own, edges, ids in _documents(path, width, 2000):
+                    raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
+                    near = (4 * (edges - edges[0])).tolist()
+                    crc = np.fromiter((zlib.crc32(raw[x:y]) for x, y in itertools.pairwise(near)), dtype=np.int64, count=len(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(edges[:-1] + base, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+
+    return manifest.repartition(n, "part").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def manifest_json(manifest: DataFrame) -> str:
