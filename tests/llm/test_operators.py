@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -88,7 +89,8 @@ def test_long_texts_are_cut_at_safe_places():
     assert "".join(bpe.safe_pieces(text, 50)) == text
     assert bpe.encode(text, RANKS, PATTERN, 50).tolist() == bpe.encode(text, RANKS, PATTERN, 10**9).tolist()
     whole = tokenfiles.Encoder(JSON)
-    assert whole.encode([text, ""]) == whole.raw([text, ""])
+    ids, sizes = whole.encode(pa.array([text, "", None]))
+    assert ids.tolist() == whole.raw([text])[0] and sizes.tolist() == [len(ids), 0, 0]
     assert bpe.decode(bpe.encode(text, RANKS, PATTERN), RANKS, PATTERN) == text.encode()
 
 
@@ -96,7 +98,6 @@ def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(JSON)
-    coder.encode_special_tokens = True
     manifest = tokenfiles.write_token_files(docs, tokenfiles.output_folder(spark), JSON)
     got = {(r.doc_id, r.start): r for r in tokenfiles.read_digests(spark, manifest).collect()}
     rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -109,6 +110,12 @@ def test_token_files(spark, docs, empty):
     assert not got
     ids = tokenfiles.read_token_files(spark, manifest).agg(F.sum("n_tokens"), F.sum(F.length("ids"))).first()
     assert tuple(ids) == (start, 4 * start)
+    marked = [(1, "a <|endoftext|> b<|endoftext|>"), (None, "x"), (None, ""), (None, "x"), (2, "é\u00a0 \u3000東 12 <|endoftext|>")]
+    few = spark.createDataFrame(marked, "doc_id long, text string")
+    got = tokenfiles.read_token_files(spark, tokenfiles.write_token_files(few, tokenfiles.output_folder(spark), JSON)).collect()
+    ids = [np.frombuffer(r.ids, "<u4").tolist() for r in sorted(got, key=lambda r: r.start)]
+    assert ids == [[*coder.encode(t, add_special_tokens=False).ids, 0] for t in ("", "x", "x", marked[0][1], marked[4][1])]
+    assert 50256 in ids[3]
     none = tokenfiles.write_token_files(empty, tokenfiles.output_folder(spark), JSON)
     assert tokenfiles.read_digests(spark, none).count() == 0
 
@@ -247,6 +254,25 @@ def test_both_passes_inside_the_mark():
     assert pages.main_text("<article><h1>Kot</h1><p>Kot stoi.</p></article>") == "Kot\nKot stoi."
 
 
+def test_broken_markup_takes_linear_time():
+    n = 20_000
+    broken = [
+        "<" + "a" * n, "<a " * n, '<a"' * n, '<a ="' * n, '<a"' * n + ">", '<a =">"' * n, "<a =\">' x" * n, "<a =' =\" " * n + ">", "<a<" * n + ">",
+        "<head>" * n, "<div>" * n + "<x>" * n + "</y>" * n, "<span class=nav>" * n + "<p>" * n, "<!--" * n, "<![CDATA[" * n, "<script>" * n, "<svg/>" * n,
+        "<a class " + " " * n + "class" * n + ">", "<a " + 'class="' * n + ">", "<ul>" * n + "<li>" * n, "&#" * n, "<p>by " + "a" * 60 + "!</p>" * n,
+    ]
+    start = time.monotonic()
+    for page in broken:
+        pages.main_text(page)
+        pages.main_text(page[: len(page) // 2])
+    assert time.monotonic() - start < 30
+    # a tag ends outside quoted values; quotes elsewhere, and those never closed, are letters
+    x = "The cat that was in the house and the dog with it are of the same age as you would think, and they have been there for all of their lives."
+    for tag in ('<p title="a > b">', "<p title='a > b' >", "<p it's>", '<p title="open>', '<p a"b="c">', "<p a = 'x>y'b>"):
+        assert pages.main_text(f"<article>{tag}{x} {x}</p></article>") == f"{x} {x}", tag
+    assert pages.main_text(f"<article><p>{x} 1 < 2 <3 {x}</p></article>") == f"{x} 1 < 2 <3 {x}"
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(c) for c in rng.normal(0, 0.2, 8)]) for i in range(300)]
@@ -264,6 +290,14 @@ def test_top_k(spark):
     assert topk.top_k(topk.scaled(df.limit(0)), F.lit(True)).count() == 0
 
 
+def test_top_k_of_rows_without_id(spark):
+    vectors = [(None, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [0.5, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.scaled(df), F.col("vec_id") % 20 == 0, 4).collect()
+    # the query's own row is left out; rows without an id stay without one, behind the ids of their score
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 2, 8192), (0, 2, None, 8192), (0, 3, None, 8192), (0, 4, 1, 6144)]
+
+
 def repeated(rows, length=50):
     places = collections.defaultdict(list)
     for doc, text in sorted({(r[0] if r[0] is not None else -1, r[1] or "") for r in rows}):
@@ -297,6 +331,27 @@ def test_passages(docs, empty):
     assert suffixes.passages(empty).count() == 0
 
 
+def test_texts_without_id_are_told_apart(spark):
+    """Texts that agree in 32 bits of hash, without ids: only what is repeated goes."""
+    said = F.concat_ws(" ", *(F.substring(F.sha2(F.concat("id", F.lit(f"/{k}")), 256), 1, 7) for k in range(60)))
+    texts = spark.range(200_000).select(F.col("id").cast("string").alias("id")).select("id", F.hash(said).alias("h"))
+    pair = texts.groupBy("h").agg(F.collect_list("id").alias("ids"), F.count("*").alias("n")).filter("n > 1").orderBy("h").first().ids[:2]
+    a, b = (" ".join(hashlib.sha256(f"{i}/{k}".encode()).hexdigest()[:7] for k in range(60)) for i in pair)
+    rows = [(None, a, None, None, 0), (None, b, None, None, 0), (None, "before " + a + " behind", None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert df.select(F.hash("text")).distinct().count() == 2
+    kept = sorted(r.text for r in suffixes.remove_repeats(df).collect())
+    assert b in kept and sum(len(words(t)) for t in kept) == 60 + 60 + 2
+
+
+def test_repeated_rows_come_to_the_sort_once_for_each_task(spark):
+    rows = spark.createDataFrame([(None, " ".join(map(str, range(80))), None, None, 0)] * 90, SCHEMA).repartition(3)
+    keyed = suffixes._keyed(rows, "doc_id", "text")
+    each = suffixes.suffix_table(keyed, 50, 21).groupBy("fp", "pos").count().collect()
+    assert each and all(r["count"] <= 3 for r in each)
+    assert suffixes.span_rows(suffixes.passages(rows)).count() == 0
+
+
 def test_borders_of_tasks():
     rows = [(1, 1), (1, 1), (1, 2), (1, 2), (1, 2), (2, 1), (3, 1), (3, 1), (4, 1), (4, 2)]
     for cuts in ((3,), (1, 4), (2, 3, 5), (1, 2, 3, 4, 5, 6, 7, 8, 9), (7,), (9,)):
@@ -389,7 +444,7 @@ def test_near_copies(docs, empty):
 
 def test_open_buckets_are_compared_in_full(spark, monkeypatch):
     """A chain of texts, each near the next one only, in one bucket: small and block forms."""
-    sets = [np.arange(10 * i, 10 * i + 100, dtype="<u4").tobytes() for i in range(60)]
+    sets = [np.arange(10 * i, 10 * i + 100, dtype="<u8").tobytes() for i in range(60)]
     table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node long, shingles binary")
     members = spark.createDataFrame([(1, i, i, 60) for i in range(60)], "bucket long, node long, class long, size long")
     monkeypatch.setattr(nearcopies, "BLOCK", 7)
