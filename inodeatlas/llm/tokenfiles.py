@@ -140,6 +140,12 @@ class Encoder:
         return ids, np.diff(total[bounds])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker, which keeps its table from task to task."""
+    return Encoder(path)
+
+
 def _with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> np.ndarray:
     """Ids of texts with the end id behind each."""
     out = np.full(len(ids) + len(sizes), end_id, ids.dtype)
@@ -154,7 +160,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     def run(batches):
         task = TaskContext.get()
         part = task.partitionId()
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         system, root = folder_of(folder)
         system.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{task.taskAttemptId()}"
