@@ -2,7 +2,7 @@
 
 Within one poll batch, events of one object form a slot. Slots follow each other in
 the order of their first event, and a rule may drop a new event or cancel an earlier
-one. A slot never outgrows its batch, so it folds in one row.
+one.
 """
 
 from __future__ import annotations
@@ -42,31 +42,29 @@ def slot_order(events: DataFrame, profile: str) -> DataFrame:
     return slotted.withColumn("first_eid", first)
 
 
-def _kept(events: Column, rules: dict, barrier: Sequence[str]) -> Column:
-    """Fold a sorted array of events by the rules."""
-
-    def step(kept: Column, new: Column) -> Column:
-        appended = F.concat(kept, F.array(new))
-        out = None
-        for event, (action, targets) in rules.items():
-            if action == "ignore":
-                seen = F.exists(kept, lambda k: k["event_type"].isin(*targets))
-                result = F.when(seen, kept).otherwise(appended)
-            else:
-                stops = [*targets, *barrier]
-                marks = F.transform(kept, lambda k: k["event_type"].isin(*stops))
-                # distance of the latest relevant event from the end, 0 when there is none
-                back = F.array_position(F.reverse(marks), True).cast("int")
-                at = F.size(kept) - back
-                hit = F.get(kept, at)["event_type"].isin(*targets) & (back > 0)
-                without = F.concat(F.slice(kept, 1, at), F.slice(kept, at + 2, F.size(kept)))
-                result = F.when(F.coalesce(hit, F.lit(False)), without).otherwise(appended)
-            test = new["event_type"] == event
-            out = F.when(test, result) if out is None else out.when(test, result)
-        return out.otherwise(appended)
-
-    nothing = F.filter(events, lambda _: F.lit(False))
-    return F.when(F.size(events) == 1, events).otherwise(F.aggregate(events, nothing, step))
+def _brackets(rules: dict) -> list[tuple[tuple[str, ...], list[str]]]:
+    """(openers, closers) of the cancelling rules: a closer takes the latest opener and itself away."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for event, (action, targets) in rules.items():
+        if action == "cancel":
+            out.setdefault(tuple(targets), []).append(event)
+    return list(out.items())
+
+
+def _ignored(rules: dict, openers: set[str]) -> dict[frozenset[str], dict[str, set[str]]]:
+    """By the lasting events that block them, the ignorable events and the openers that block each.
+
+    A lasting event is one that no rule takes away again. Those of a group must block each other, so that
+    only the first of them stays.
+    """
+    groups: dict[frozenset[str], dict[str, set[str]]] = {}
+    for event, (action, targets) in rules.items():
+        if action == "ignore":
+            groups.setdefault(frozenset(targets) - openers, {})[event] = set(targets) & openers
+    for lasting, events in groups.items():
+        if not lasting <= set(events):
+            raise ValueError(f"events that block others but do not block each other: {sorted(lasting - set(events))}")
+    return groups
 
 
 def reduce_events(events: DataFrame, profile: str, enabled: bool = True) -> DataFrame:
@@ -74,24 +72,56 @@ def reduce_events(events: DataFrame, profile: str, enabled: bool = True) -> Data
 
     Needs ``batch_id`` and ``eid``. The order of slots holds even without rules, and
     ``first_eid`` stays that of a first event that was cancelled later.
+
+    Openers and closers are matched like brackets, by running counts: the depth after an event is the number
+    of openers that stand open. A closer that finds one open goes; so does an opener if the depth later falls
+    below its own. A barrier starts the count anew, and what stands open before it stays. Slots are sorted, and
+    never held as lists.
     """
+    slotted = slot_order(events, profile)
     if not enabled:
-        return slot_order(events, profile)
+        return slotted
     rules = INOTIFY_RULES if profile == "inotify" else FID_RULES
     barrier = () if profile == "inotify" else ("08RENME",)
-    body = F.struct("eid", *[c for c in events.columns if c not in ("eid", "batch_id")])
-    slots = (
-        events.select("batch_id", slot_key(profile).alias("slot"), body.alias("_e"))
-        .groupBy("batch_id", "slot")
-        .agg(F.array_sort(F.collect_list("_e")).alias("_events"))
-    )
-    kept = slots.select(
-        "batch_id",
-        "slot",
-        F.get("_events", F.lit(0))["eid"].alias("first_eid"),
-        F.inline(_kept(F.col("_events"), rules, barrier)),
-    )
-    return kept.select(*events.columns, "slot", "first_eid")
+    kind = F.col("event_type")
+    slot = Window.partitionBy("batch_id", "slot")
+    upto = slot.orderBy("eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = slot.orderBy("eid").rowsBetween(Window.unboundedPreceding, -1)
+    part = Window.partitionBy("batch_id", "slot", "_part")
+    out = slotted.withColumn("_part", F.count_if(kind.isin(*barrier)).over(upto) if barrier else F.lit(0))
+    keep, open_before = F.lit(True), {}
+    brackets = _brackets(rules)
+    for i, (openers, closers) in enumerate(brackets):
+        opens, closes = kind.isin(*openers), kind.isin(*closers)
+        step = F.when(opens, 1).when(closes, -1).otherwise(0)
+        running = part.orderBy("eid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(f"_sum{i}", F.sum(step).over(running))
+        out = out.withColumn(f"_depth{i}", F.col(f"_sum{i}") - F.least(F.lit(0), F.min(f"_sum{i}").over(running)))
+        out = out.withColumn(f"_was{i}", F.lag(f"_depth{i}", 1, 0).over(part.orderBy("eid")))
+        if barrier:  # what the earlier parts have left open
+            last = F.coalesce(F.lead("_part").over(slot.orderBy("eid")) != F.col("_part"), F.lit(True))
+            out = out.withColumn(f"_left{i}", F.when(last, F.col(f"_depth{i}")))
+            out = out.withColumn(f"_open{i}", F.col(f"_was{i}") + F.coalesce(F.sum(f"_left{i}").over(before), F.lit(0)))
+        else:
+            out = out.withColumn(f"_open{i}", F.col(f"_was{i}"))
+        open_before |= {o: F.col(f"_open{i}") > 0 for o in openers}
+        later = part.orderBy(F.desc("eid")).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(f"_later{i}", F.min(f"_depth{i}").over(later))
+        taken = (closes & (F.col(f"_was{i}") > 0)) | (opens & F.coalesce(F.col(f"_later{i}") < F.col(f"_depth{i}"), F.lit(False)))
+        keep = keep & ~taken
+    for i, (lasting, ignorable) in enumerate(_ignored(rules, set(open_before)).items()):
+        free = F.lit(False)
+        for event, blockers in ignorable.items():
+            blocked = F.lit(False)
+            for opener in sorted(blockers):
+                blocked = blocked | open_before[opener]
+            free = free | ((kind == event) & ~blocked)
+        out = out.withColumn(f"_free{i}", free)
+        first = F.min(F.when(F.col(f"_free{i}") & kind.isin(*sorted(lasting)), F.col("eid"))).over(slot)
+        out = out.withColumn(f"_first{i}", first)
+        stays = F.col(f"_free{i}") & (F.col(f"_first{i}").isNull() | (F.col("eid") <= F.col(f"_first{i}")))
+        keep = keep & (~kind.isin(*ignorable) | stays)
+    return out.filter(keep).select(*events.columns, "slot", "first_eid")
 
 
 def pass_through(events: DataFrame, profile: str, enabled: bool = True) -> DataFrame:

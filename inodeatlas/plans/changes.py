@@ -226,9 +226,34 @@ def path_feed_reduced(spark, sf_dir):
     return _path_feed(spark, sf_dir, True, 3)
 
 
-@query("namespace_path_collisions")
+# Which object each rename removes, one event after another: ``live`` has the path of every inode, ``claim`` the
+# inode that took every path last, both by number, 0 for none.
+CROWD_SQL = GPFS_SQL.replace("gpfs AS", "crowd0 AS").replace("'/u' || user_id AS path", "'/u' || (user_id % 10) AS path") + """,
+crowd AS (SELECT *, row_number() OVER (ORDER BY batch_id, first_eid, eid) AS sq
+  FROM (SELECT *, min(eid) OVER (PARTITION BY batch_id, inode) AS first_eid FROM crowd0)),
+act AS (SELECT *, row_number() OVER (ORDER BY sq) AS i, dense_rank() OVER (ORDER BY path) AS spot
+  FROM crowd WHERE event_type IN ('IN_CREATE', 'IN_DELETE', 'IN_MOVED_TO')),
+run(i, live, claim, victim) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(CAST(0 AS BIGINT)) FROM range((SELECT max(inode) FROM act))),
+         (SELECT list(CAST(0 AS BIGINT)) FROM range((SELECT max(spot) FROM act))), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT i, CASE WHEN NOT applies THEN live ELSE list_concat(list_concat(emptied[1:inode - 1], [CASE event_type WHEN 'IN_DELETE' THEN 0 ELSE spot END]), emptied[inode + 1:]) END,
+         CASE WHEN NOT applies OR event_type = 'IN_DELETE' THEN claim ELSE list_concat(list_concat(claim[1:spot - 1], [inode]), claim[spot + 1:]) END, victim
+  FROM (SELECT *, CASE WHEN victim > 0 THEN list_concat(list_concat(live[1:victim - 1], [CAST(0 AS BIGINT)]), live[victim + 1:]) ELSE live END AS emptied
+    FROM (SELECT a.i, a.event_type, a.inode, a.spot, r.live, r.claim, a.event_type = 'IN_CREATE' OR r.live[a.inode] > 0 AS applies,
+            CASE WHEN a.event_type = 'IN_MOVED_TO' AND r.live[a.inode] > 0 AND r.claim[a.spot] NOT IN (0, a.inode) AND r.live[r.claim[a.spot]] = a.spot
+                 THEN r.claim[a.spot] ELSE 0 END AS victim
+          FROM run r JOIN act a ON a.i = r.i + 1))
+),
+removed AS (
+  SELECT 2 * sq AS eid, batch_id, inode, event_type, path, size, atime, uid FROM crowd
+  UNION ALL SELECT 2 * sq - 1, batch_id, victim, 'IN_DELETE', NULL, NULL, NULL, NULL FROM run JOIN act USING (i) WHERE victim > 0
+)"""
+
+
+@query("namespace_path_collisions", f"WITH RECURSIVE {CROWD_SQL}, changes AS (WITH {_path_feed_sql('removed', 1)}) SELECT flush, op, fid, path, size FROM changes")
 def path_collisions(spark, sf_dir):
-    """Inodes share paths, so renames remove other files; compared with a model in the tests."""
+    """Inodes share paths, so renames remove other files."""
     ev = reduction.reduce_events(gpfs_events(spark, sf_dir, crowded=True), "inotify", False)
     _, changes = namespace.apply_events(namespace.empty_state(spark), ev, "inotify")
     return changes.select("flush", "op", "fid", "path", "size")

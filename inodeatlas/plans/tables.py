@@ -239,3 +239,125 @@ def resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat(F.lit("d"), folder).alias("fid"), F.concat(F.lit("/m/d"), folder).alias("path"))
         .distinct()
     )
+
+
+# The logs with directories: the first DIRS events make directories, TOPS of them at the top, the others
+# below one of these; later events move the others about and work on files below all of them.
+DIRS, TOPS, POLL = 60, 12, 500
+
+
+def _tree_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ``i``, ``u``, the lower directory ``d`` that they speak of, and whether they move it."""
+    i, u = F.col("i"), F.col("u")
+    rows = table(spark, sf_dir, "events").select("*", F.col("event_id").alias("i"), F.col("user_id").alias("u"))
+    moves = (F.col("event_type") == "purchase") & (i % 7 == 0) & (i >= DIRS)
+    lower = F.when(moves, i).otherwise(u + i) % (DIRS - TOPS) + TOPS
+    return rows.select("*", moves.alias("moves"), lower.alias("d"), F.floor(i / POLL).cast("long").alias("batch_id"))
+
+
+def tree_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fid-based change log with nested directories that move; holds all event types."""
+    i, u, kind = F.col("i"), F.col("u"), F.col("event_type")
+    leaf_dir = u % 10 == 9  # directories that stay empty
+    name = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    touched = F.array(*map(F.lit, ("13TRUNC", "14SATTR", "17MTIME", "18CTIME", "19ATIME")))
+    code = (
+        F.when(i < DIRS, "02MKDIR").when(kind == "purchase", "08RENME")
+        .when(kind == "signup", F.when(leaf_dir, "02MKDIR").otherwise("01CREAT"))
+        .when(kind == "error", F.when(leaf_dir, "07RMDIR").otherwise("06UNLNK"))
+        .when(kind == "click", F.element_at(touched, (i % 5 + 1).cast("int")))
+        .otherwise(F.when(i % 2 == 0, "10OPEN").otherwise("11CLOSE"))
+    )
+    fid = F.when(i < DIRS, name("D", i)).when(F.col("moves"), name("D", F.col("d"))).when(leaf_dir, name("S", u)).otherwise(name("F", u))
+    parent = (
+        F.when(i < TOPS, "root").when((i < DIRS) | F.col("moves"), name("D", i % TOPS)).otherwise(name("D", (u + i) % DIRS))
+    )
+    leaf = F.when(i < DIRS, name("n", i)).when(F.col("moves"), F.concat(name("n", F.col("d")), name("_", i))).otherwise(F.lower(fid))
+    base = _tree_columns(spark, sf_dir).select(
+        i.alias("eid"), "batch_id", code.alias("event_type"), fid.alias("fid"), parent.alias("parent"), leaf.alias("leaf"), u.cast("string").alias("uid")
+    )
+    rename = F.col("event_type") == "08RENME"
+    structural = F.col("event_type").isin("01CREAT", "02MKDIR", "06UNLNK", "07RMDIR", "08RENME")
+    earlier = Window.partitionBy("fid").orderBy("eid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(structural, F.col("parent")), ignorenulls=True).over(earlier)
+    return base.select("*", before.alias("_before")).select(
+        "eid",
+        "batch_id",
+        "event_type",
+        F.when(rename, "0:0x0:0x0").otherwise(F.col("fid")).alias("target_fid"),
+        "uid",
+        F.lit("0").alias("gid"),
+        F.when(structural, F.col("parent")).alias("parent_fid"),
+        F.when(structural, F.col("leaf")).alias("name"),
+        F.when(rename, F.col("fid")).alias("source_fid"),
+        F.when(rename, F.coalesce("_before", F.lit("gone"))).alias("source_parent_fid"),
+    )
+
+
+TREE_SQL = f"""
+numbered AS (
+  SELECT event_id AS i, user_id AS u, event_type AS kind, event_id // {POLL} AS batch_id,
+         event_type = 'purchase' AND event_id % 7 = 0 AND event_id >= {DIRS} AS moves, user_id % 10 = 9 AS leaf_dir FROM events
+),
+lower_dirs AS (SELECT *, CASE WHEN moves THEN i ELSE u + i END % {DIRS - TOPS} + {TOPS} AS d FROM numbered),
+tree0 AS (
+  SELECT i AS eid, batch_id, u,
+         CASE WHEN i < {DIRS} THEN '02MKDIR' WHEN kind = 'purchase' THEN '08RENME'
+              WHEN kind = 'signup' THEN CASE WHEN leaf_dir THEN '02MKDIR' ELSE '01CREAT' END
+              WHEN kind = 'error' THEN CASE WHEN leaf_dir THEN '07RMDIR' ELSE '06UNLNK' END
+              WHEN kind = 'click' THEN ['13TRUNC', '14SATTR', '17MTIME', '18CTIME', '19ATIME'][i % 5 + 1]
+              WHEN i % 2 = 0 THEN '10OPEN' ELSE '11CLOSE' END AS event_type,
+         CASE WHEN i < {DIRS} THEN 'D' || i WHEN moves THEN 'D' || d WHEN leaf_dir THEN 'S' || u ELSE 'F' || u END AS fid,
+         CASE WHEN i < {TOPS} THEN 'root' WHEN i < {DIRS} OR moves THEN 'D' || (i % {TOPS}) ELSE 'D' || ((u + i) % {DIRS}) END AS parent,
+         CASE WHEN i < {DIRS} THEN 'n' || i WHEN moves THEN 'n' || d || '_' || i WHEN leaf_dir THEN 's' || u ELSE 'f' || u END AS name
+  FROM lower_dirs
+),
+tree AS (
+  SELECT *, CASE WHEN event_type = '08RENME' THEN coalesce(
+             last_value(CASE WHEN event_type IN ('01CREAT', '02MKDIR', '06UNLNK', '07RMDIR', '08RENME') THEN parent END IGNORE NULLS)
+               OVER (PARTITION BY fid ORDER BY eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'gone') END AS source_parent
+  FROM tree0
+)"""
+
+
+def path_tree_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path-based change log with nested directories; a lower one moves away and comes back."""
+    i, u, d, kind = F.col("i"), F.col("u"), F.col("d"), F.col("event_type")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    event = (
+        F.when((i < DIRS) | (kind == "signup"), "IN_CREATE").when(kind == "click", "IN_MODIFY").when(kind == "error", "IN_DELETE")
+        .when(kind == "purchase", "IN_MOVED_TO").otherwise("IN_OPEN")
+    )
+    home = text("/t", d % TOPS, "/s", d)
+    path = (
+        F.when(i < TOPS, text("/t", i)).when(i < DIRS, text("/t", i % TOPS, "/s", i))
+        .when(F.col("moves"), F.when(i % 2 == 0, home).otherwise(text("/t", i % TOPS, "/s", d, "_", i)))
+        .otherwise(F.concat(home, text("/u", u)))
+    )
+    number = F.when(i < DIRS, 10_000_000 + i).when(F.col("moves"), 10_000_000 + d).otherwise(u + 1)
+    return _tree_columns(spark, sf_dir).select(
+        i.alias("eid"),
+        "batch_id",
+        number.cast("long").alias("inode"),
+        ((i < DIRS) | F.col("moves") | (u % 10 == 9)).alias("is_dir"),
+        event.alias("event_type"),
+        path.alias("path"),
+        F.round(F.col("value") * 100).cast("long").alias("size"),
+        *[i.alias(c) for c in ("atime", "ctime", "mtime")],
+        F.lit("rw-r--r--").alias("permissions"),
+        u.alias("uid"),
+        F.lit(0).cast("long").alias("gid"),
+    )
+
+
+PATH_TREE_SQL = TREE_SQL.split("tree0 AS")[0] + f"""
+ptree AS (
+  SELECT i AS eid, batch_id,
+         CASE WHEN i < {DIRS} OR kind = 'signup' THEN 'IN_CREATE' WHEN kind = 'click' THEN 'IN_MODIFY' WHEN kind = 'error' THEN 'IN_DELETE'
+              WHEN kind = 'purchase' THEN 'IN_MOVED_TO' ELSE 'IN_OPEN' END AS event_type,
+         CAST(CASE WHEN i < {DIRS} THEN 10000000 + i WHEN moves THEN 10000000 + d ELSE u + 1 END AS VARCHAR) AS fid, i < {DIRS} OR moves AS holds,
+         CASE WHEN i < {TOPS} THEN '/t' || i WHEN i < {DIRS} THEN '/t' || (i % {TOPS}) || '/s' || i
+              WHEN moves AND i % 2 <> 0 THEN '/t' || (i % {TOPS}) || '/s' || d || '_' || i
+              WHEN moves THEN '/t' || (d % {TOPS}) || '/s' || d ELSE '/t' || (d % {TOPS}) || '/s' || d || '/u' || u END AS path
+  FROM lower_dirs
+)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -76,6 +77,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def plain_plans(spark: SparkSession):
+    """Plan what is run inside without inferred constraints.
+
+    Tables that are cut and united again and again carry constraints on columns of earlier ones, over
+    which the optimiser stumbles ("key not found").
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def numbered_folders(spark: SparkSession, folder: str) -> list[int]:
     """Numbers that name the entries of a shared folder, ascending; none where it is missing."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -72,15 +72,6 @@ def count_stream(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count("*").alias("count"))
 
 
-def complete_stream(partials: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys whose rows have all arrived, emitted in the batch that completes them (update mode).
-
-    ``partials`` is a running aggregate with a ``count``; ``expected`` a static table.
-    """
-    wanted = expected.withColumnRenamed("count", "expected")
-    return partials.join(wanted, list(keys)).filter(F.col("count") == F.col("expected"))
-
-
 def pass_through_stream(profile: str, destination: str, reduce: bool = True, poll_size: int = 10_000, **options):
     """Batch handler that forwards the reduced events and keeps no state.
 
