@@ -333,6 +333,18 @@ def children(spark, sf_dir):
     )
 
 
+@query(
+    "state_children_long",
+    f"""WITH {LUSTRE_SQL}, {_fid_feed_sql(False).split("flushed AS")[0].rstrip().rstrip(',')},
+    final AS (SELECT fid, arg_max(event_type = '06UNLNK', eid) AS dead, arg_max(lost_now, eid) AS lost,
+        arg_max(now_path, eid) AS path FROM placed GROUP BY fid)
+    SELECT split_part(path, '/', 3) AS fid, fid AS child FROM final WHERE NOT dead AND NOT lost""",
+)
+def children_long(spark, sf_dir):
+    """A row for each child, whatever the directory holds."""
+    return namespace.state_children(_fid_feed(spark, sf_dir)[0])
+
+
 @query(
     "resolve_fids",
     f"""WITH {LUSTRE_SQL} SELECT eid, parent AS parent_fid, '/m/' || parent AS resolved FROM lustre

@@ -193,22 +193,39 @@ def pack(spark, sf_dir):
     return totals.groupBy("lane", "documents", "bytes").agg(F.count("*").alias("batches"))
 
 
+def _packing_faults(packed, limit):
+    """By lane and batch: closed below the limit, or later than the document that reached it."""
+    totals = packed.groupBy("lane", "batch").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"))
+    closed = F.col("batch") < F.max("batch").over(Window.partitionBy("lane"))
+    return totals.withColumn("short", (closed & (F.col("bytes") < limit)).cast("long")).withColumn("late", (F.col("bytes") - F.col("largest") >= limit).cast("long"))
+
+
 @query(
     "packed_primary_documents",
-    f"WITH {FILES_SQL} SELECT CAST(count(*) AS BIGINT) AS documents, true AS full_batches FROM files",
+    f"""WITH {FILES_SQL} SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(DISTINCT path) AS BIGINT) AS subjects,
+      CAST(0 AS BIGINT) AS short, CAST(0 AS BIGINT) AS late FROM files""",
 )
 def pack_primary(spark, sf_dir):
-    """Whole documents packed by size: nothing is lost and every closed batch is full."""
-    from ..operators.packing import assign_lanes
-
+    """Whole documents packed where they lie: nothing is lost, and every closed batch ends with the document that fills it."""
     limit = 64 * 1024
-    docs = assign_lanes(document_text(primary_documents(files(spark, sf_dir), ["g1"])), 64)
-    totals = batch_totals(pack_documents(docs, limit))
-    last = F.max("batch").over(Window.partitionBy("lane"))
-    return (
-        totals.withColumn("closed", F.col("batch") < last)
-        .agg(
-            F.sum("documents").alias("documents"),
-            F.bool_and(~F.col("closed") | (F.col("bytes") >= limit)).alias("full_batches"),
-        )
+    packed = pack_documents(document_text(primary_documents(files(spark, sf_dir), ["g1"])), limit)
+    names = ("documents", "subjects", "short", "late")
+    zero = F.lit(0).cast("long")
+    faults = _packing_faults(packed, limit).select("documents", zero.alias("subjects"), "short", "late")
+    each = packed.select("subject").distinct().select(zero.alias("documents"), F.lit(1).cast("long").alias("subjects"), zero.alias("short"), zero.alias("late"))
+    return faults.unionByName(each).agg(*[F.sum(c).alias(c) for c in names])
+
+
+@query(
+    "packed_in_place",
+    f"""WITH {FILES_SQL} SELECT gid, CAST(count(*) AS BIGINT) AS documents, CAST(sum(len(path)) AS BIGINT) AS bytes,
+      CAST(0 AS BIGINT) AS short, CAST(0 AS BIGINT) AS late FROM files GROUP BY gid""",
+)
+def pack_in_place(spark, sf_dir):
+    """Paths as documents, packed without a shuffle; faults of a batch count for every group in it."""
+    docs = files(spark, sf_dir).select("gid", F.col("path").alias("subject"), F.col("path").alias("document"))
+    packed = pack_documents(docs, 2000)
+    faults = _packing_faults(packed, 2000).select("lane", "batch", "short", "late")
+    return packed.join(faults, ["lane", "batch"]).groupBy("gid").agg(
+        F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("short").alias("short"), F.sum("late").alias("late")
     )

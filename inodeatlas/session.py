@@ -93,14 +93,24 @@ def plain_plans(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def numbered_folders(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers that name the entries of a shared folder, ascending; none where it is missing."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def named_folders(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """Names of the entries of a shared folder that begin with ``prefix``, without it; none where it is missing."""
+    if not exists(spark, folder):
+        return []
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
     names = [entry.getPath().getName() for entry in store.listStatus(path)]
-    return sorted(int(n) for n in names if n.isdigit())
+    return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
+
+
+def numbered_folders(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers that name the entries of a shared folder, ascending; none where it is missing."""
+    return sorted(int(n) for n in named_folders(spark, folder) if n.isdigit())
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.counts import report_order
 from ..schemas import QUANTILES
+from ..session import cut_lineage, exists, named_folders, remove_folder
 from ..sources.sqlite import read_listed
 
 
@@ -71,6 +72,11 @@ def write_csv_chunks(df: DataFrame, path: str, rows: int, mode: str = "append")
     df.write.mode(mode).option("header", False).option("maxRecordsPerFile", rows).csv(path)
 
 
+def _finished(spark: SparkSession, progress: str) -> list[str]:
+    """Runs whose list of databases is complete: Spark marks a folder when its job has ended."""
+    return [run for run in named_folders(spark, progress, "run=") if exists(spark, f"{progress}/run={run}/_SUCCESS")]
+
+
 def export_entries(
     spark: SparkSession,
     listing: DataFrame,
@@ -82,17 +88,36 @@ def export_entries(
 ) -> int:
     """Export the databases of a listing that no earlier run has exported.
 
-    ``progress`` is a table of finished database paths, written after their rows: a run
-    that dies repeats its own databases only. Returns how many were left to do.
+    A run writes its rows to ``out/run=<name>`` and then the paths of its databases to ``progress/run=<name>``. What
+    :func:`read_export` returns are the folders that progress names: rows of a run that died in between are not among
+    them, and its databases are exported again by the next. Returns how many were left to do.
     """
     todo = listing.filter(~F.col("malformed")).select("path").distinct()
-    try:
-        todo = todo.join(spark.read.parquet(progress), "path", "left_anti")
-    except AnalysisException:
-        pass
+    done = _finished(spark, progress)
+    if done:
+        known = spark.read.schema("path string").parquet(*[f"{progress}/run={run}" for run in done])
+        todo = todo.join(known, "path", "left_anti")
+    todo = cut_lineage(todo)
     left = todo.count()
     if left:
+        run = uuid.uuid4().hex
         good = normalize(read_listed(todo, tasks).filter(F.col("error").isNull()))
-        write_csv_chunks(good, out, rows)
-        todo.write.mode("append").parquet(progress)
+        write_csv_chunks(good, f"{out}/run={run}", rows, mode="errorifexists")
+        todo.write.parquet(f"{progress}/run={run}")
     return left
+
+
+def read_export(spark: SparkSession, out: str, progress: str, schema: str) -> DataFrame:
+    """Rows of the finished runs."""
+    done = _finished(spark, progress)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).csv([f"{out}/run={run}" for run in done])
+
+
+def forget_unfinished(spark: SparkSession, out: str, progress: str) -> list[str]:
+    """Remove the rows of runs that died; not while a run is under way. Returns their names."""
+    dead = sorted(set(named_folders(spark, out, "run=")) - set(_finished(spark, progress)))
+    for run in dead:
+        remove_folder(spark, f"{out}/run={run}")
+    return dead

@@ -86,11 +86,14 @@ def pass_through_stream(profile: str, destination: str, reduce: bool = True, pol
     return handle
 
 
-def document_stream(max_bytes: float, lanes: int, receipts: str, sender=None):
-    """Batch handler that packs and sends documents; receipts go to one folder per batch."""
+def document_stream(max_bytes: float, receipts: str, sender=None, lanes: int | None = None, max_seconds: float | None = None):
+    """Batch handler that packs and sends documents; receipts go to one folder per batch.
+
+    Each task packs what it has read, unless a number of lanes is given.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        packed = pack_documents(assign_lanes(batch, lanes), max_bytes)
+        packed = pack_documents(assign_lanes(batch, lanes) if lanes else batch, max_bytes, max_seconds)
         out = stamp_ingest_time(write_documents(packed, sender))
         out.write.mode("overwrite").parquet(f"{receipts}/batch={number}")
 

@@ -435,11 +435,12 @@ def test_idle_stream_stops(spark, tmp_path):
     assert not query.isActive and sum(seen) == 5
 
 
-def test_document_stream(spark, tmp_path):
+@pytest.mark.parametrize("lanes", [None, 2])
+def test_document_stream(spark, tmp_path, lanes):
     df = spark.createDataFrame([(f"s{i}", '{"n": %d}' % i) for i in range(20)], "subject string, document string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run.run_to_end(stream, run.document_stream(30, 2, str(tmp_path / "receipts")), str(tmp_path / "c"))
+    run.run_to_end(stream, run.document_stream(30, str(tmp_path / "receipts"), lanes=lanes), str(tmp_path / "c"))
     got = spark.read.parquet(str(tmp_path / "receipts"))
     assert got.agg(F.sum("documents")).collect()[0][0] == 20 and "ingested_at" in got.columns
 
@@ -456,3 +457,39 @@ def test_refresh_equals_recomputation(spark):
     got = finish_stats(refresh.refresh_aggregates(key_partials(before), before, changes_), ["kind", "name"])
     want = finish_stats(key_partials(refresh.merge_primary(before, changes_)), ["kind", "name"])
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_refresh_takes_back(spark, monkeypatch, seed):
+    """Random changes: counts, sums and extremes after them, while only changed files are fanned out."""
+    from inodeatlas.operators.aggregate import finish_stats, key_partials
+
+    rng = random.Random(seed)
+    columns = "fid string, path string, size long, atime long, ctime long, mtime long, uid long, gid long"
+    new = lambda f: (f, f"/a/d{rng.randrange(4)}/e{rng.randrange(2)}/f{f}", rng.randrange(20), *(rng.randrange(1, 9) for _ in range(3)), rng.randrange(3), rng.randrange(2))
+    before = spark.createDataFrame([new(str(i)) for i in range(80)], columns)
+    feed = []
+    for flush in range(3):
+        for f in rng.sample(range(90), 6):
+            feed.append((flush, "delete", str(f), *[None] * 7) if rng.random() < 0.4 else (flush, "update", *new(str(f))))
+    changes_ = spark.createDataFrame(feed, "flush long, op string, " + columns)
+    fanned = []
+    plain = refresh._extremes
+    monkeypatch.setattr(refresh, "_extremes", lambda after, keys, *rest: fanned.append(keys.count()) or plain(after, keys, *rest))
+    got = finish_stats(refresh.refresh_aggregates(key_partials(before), before, changes_), ["kind", "name"])
+    after = refresh.merge_primary(before, changes_)
+    want = finish_stats(key_partials(after), ["kind", "name"])
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert len(fanned) <= 1 and sum(fanned) < want.count()
+    # an update that takes no extreme away reads no other file
+    quiet = spark.createDataFrame([(9, "update", "new", "/a/d0/e0/new", 5, 4, 4, 4, 1, 1)], "flush long, op string, " + columns)
+    fanned.clear()
+    out = refresh.refresh_aggregates(key_partials(before), before, quiet)
+    assert fanned == [] and out.exceptAll(key_partials(refresh.merge_primary(before, quiet)).select(*out.columns)).isEmpty()
+
+
+def test_children_in_long_form(spark):
+    events = [path_event(0, "IN_CREATE", 1, "/a", is_dir=True), *[path_event(i, "IN_CREATE", i + 1, f"/a/{i}") for i in range(1, 6)]]
+    state, _ = changes(spark, events, "inotify")
+    assert sorted(tuple(r) for r in namespace.state_children(state).collect()) == [("1", str(i)) for i in range(2, 7)]
+    assert "children" not in namespace.state_snapshot(state, lists=False).columns

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from inodeatlas.operators import accuracy, arrow_sketches, counts, dd, packing, ranks
+from inodeatlas.operators.dimensions import explode_dimensions, spread_to_ancestors
 from inodeatlas.operators.documents import aggregate_documents, receipts_to_report
 from inodeatlas.operators.quantiles import quantile_report
-from inodeatlas.schemas import INVENTORY, QUANTILES
+from inodeatlas.schemas import INVENTORY, METRICS, QUANTILES
 
 
 @pytest.fixture(scope="module")
@@ -49,13 +51,38 @@ def test_dd_is_close_to_the_exact_value(inventory, metric):
 
 
 @pytest.mark.parametrize("mode", ["kll", "td", "req"])
-def test_sketches_keep_their_rank_error(inventory, mode):
-    keys = ["kind", "name", "metric"]
-    ranked = ranks.cumulative(ranks.key_frequencies(inventory, ("usr", "dir"), 0, 4), keys)
-    checked = accuracy.within_rank_bounds(ranked, quantile_report(inventory, mode, ("usr", "dir"), 0, 4), keys, 0.04)
-    rows = checked.collect()
-    assert len(rows) == 4 * (40 + 42 + 40)  # users; the root, /a, /a/b*; /a/b*/c
-    assert all(r.within for r in rows)
+def test_sketches_keep_their_law(inventory, mode):
+    report = quantile_report(inventory, mode, ("usr", "dir"), 0, 4)
+    rows = explode_dimensions(inventory, ("usr", "dir"), 0, 4, keep=METRICS)
+    keys = ["kind", "name"]
+    excess = accuracy.rank_excess(rows, report, keys, mode)
+    found = accuracy.outside_law(excess, ["metric"]).collect()
+    assert {(r.metric, r["keys"], r.outside) for r in found} == {(m, 40 + 42 + 40, 0) for m in METRICS}  # users; the root, /a, /a/b*; /a/b*/c
+    facts = {(r.kind, r["name"], r.metric): (r["count"], r.min, r.max, r.mean) for r in report.collect()}
+    exact = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[f(m).alias(f"{m}_{n}") for m in METRICS for n, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))])
+    assert facts == {(r.kind, r["name"], m): (r.n, r[f"{m}_lo"], r[f"{m}_hi"], r[f"{m}_sum"] // r.n) for r in exact.collect() for m in METRICS}
+
+
+def test_answers_beyond_the_law_are_told(spark):
+    """Against ranks counted one by one: a report that is off by more than the law, and copies of a value."""
+    values = sorted([5] * 300 + list(range(10, 710)))
+    rows = spark.createDataFrame([("user", "u", v, v, v, v) for v in values], "kind string, name string, size long, atime long, ctime long, mtime long")
+    asked = {"p10": 5, "p25": 5, "p50": 260, "p75": 700, "p90": 609, "p99": 0}
+    report = rows.limit(1).select("kind", "name", F.explode(F.array(*map(F.lit, METRICS))).alias("metric")).select("*", *[F.lit(v).cast("long").alias(p) for p, v in asked.items()])
+    got = accuracy.rank_excess(rows, report, ["kind", "name"], "kll").filter("metric = 'size'").first()
+    law = lambda v, q: max(0, math.ceil(max(sum(x < v for x in values) - q * 1000, q * 1000 - sum(x <= v for x in values), 0) - (2 * 0.0165 * 1000 + 1)))
+    assert [got[p] for p in asked] == [law(v, QUANTILES[p]) for p, v in asked.items()]
+    assert got.p10 == got.p25 == got.p90 == 0 and got.p50 > 0 and got.p75 > 0 and got.p99 > 0
+
+
+def test_sketches_are_merged_before_they_spread(inventory):
+    """One sketch of a deepest directory goes to those above, however many tasks have made parts of it."""
+    many = inventory.repartition(12)
+    parts = arrow_sketches.partial_sketches(many, "req", ("dir",), 0, 4)
+    merged = arrow_sketches.merge_sketches(parts, "req")
+    assert merged.count() < parts.count() / 4
+    again = arrow_sketches.merge_sketches(spread_to_ancestors(merged, 0, 4), "req").groupBy("metric").agg(F.max("n").alias("n"))
+    assert {r.n for r in again.collect()} == {inventory.count()}
 
 
 def test_req_is_finest_at_the_top(spark):
@@ -94,6 +121,26 @@ def test_bucket_edges(spark):
     assert all(abs(r.b - r.value) <= abs(r.value) * dd.ALPHA * 1.0001 for r in rows)
 
 
+def test_packing_in_place(spark):
+    """No exchange; batches close by size, and by time when documents arrive."""
+    docs = spark.range(400).select(F.col("id").cast("string").alias("subject"), F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).alias("document")).repartition(3)
+    packed = packing.pack_documents(docs, 20)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    again = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select(F.col("n_name").alias("subject"), F.col("n_name").alias("document")), 20)
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    rows = packed.collect()
+    assert sorted(int(r.subject) for r in rows) == list(range(400))
+    for lane in {r.lane for r in rows}:
+        own = [r for r in rows if r.lane == lane]
+        totals = [[r.bytes for r in own if r.batch == b] for b in range(max(r.batch for r in own) + 1)]
+        assert all(sum(t) >= 20 > sum(t[:-1]) for t in totals[:-1]) and sum(totals[-1][:-1]) < 20
+    # a clock that goes on by 4 seconds at each look
+    ticks = iter(range(0, 1000, 4))
+    fold = packing._Fold(100, 5, lambda: next(ticks))
+    assert [fold(np.array([10, 10])).tolist() for _ in range(4)] == [[0, 0], [0, 0], [1, 1], [1, 1]]
+    assert fold(np.array([90, 30])).tolist() == [2, 2] and fold.number == 3
+
+
 def test_packing(spark):
     docs = spark.createDataFrame(
         [(lane, f"s{i}", "x" * n) for lane in (0, 1) for i, n in enumerate([3, 4, 5, 1])],

@@ -1,6 +1,8 @@
 import json
 import sqlite3
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from inodeatlas.operators import aggregate, reduction
@@ -65,7 +67,7 @@ def database(path, rows):
         con.executemany("INSERT INTO entries VALUES (?,?,?,?,?,?,?,?,?,0)", rows)
 
 
-def test_sqlite_scan_and_resumable_export(spark, tmp_path):
+def test_sqlite_scan_and_resumable_export(spark, tmp_path, monkeypatch):
     for i in range(5):
         folder = tmp_path / f"d{i}"
         folder.mkdir()
@@ -83,6 +85,20 @@ def test_sqlite_scan_and_resumable_export(spark, tmp_path):
     assert writers.export_entries(spark, more, out, progress, 2, fix) == 0
     back = [r.value for r in spark.read.text(out).collect()]
     assert len(back) == len(set(back)) == 15
+    kept = writers.read_export(spark, out, progress, "line string")
+    assert kept.count() == 15
+    # a run that dies between its rows and its progress leaves no row twice
+    again = str(tmp_path / "again"), str(tmp_path / "again-progress")
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: 1 / 0 if "again-progress" in path else plain(self, path, *a, **k))
+    with pytest.raises(ZeroDivisionError):
+        writers.export_entries(spark, more, *again, 2, fix)
+    monkeypatch.undo()
+    assert writers.read_export(spark, *again, "line string").count() == 0
+    assert writers.export_entries(spark, more, *again, 2, fix) == 6
+    assert spark.read.text(again[0]).count() == 30 and writers.read_export(spark, *again, "line string").count() == 15
+    assert len(writers.forget_unfinished(spark, *again)) == 1 and spark.read.text(again[0]).count() == 15
+    assert writers.read_export(spark, str(tmp_path / "no"), str(tmp_path / "none"), "line string").count() == 0
     assert "f,33188,0,0,0,1,2,3,/d0/null" in back
     sizes = [r["n"] for r in spark.read.text(out).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) <= 2
