@@ -20,12 +20,12 @@ from inodeatlas.llm.common import prepare, stored, table
 
 def language(spark, docs, sf_dir):
     model = langid.train(docs, F.lit(True))
-    return docs.filter(langid.accepts(model, spark)(F.col("text")))
+    return langid.keep_known(docs, model)
 
 
 def quality_rules(spark, docs, sf_dir):
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(quality.keeps(model, spark)(F.col("text")))
+    return quality.keep_good(docs, model)
 
 
 def near_copies(spark, docs, sf_dir):

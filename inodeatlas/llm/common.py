@@ -94,6 +94,20 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int):
         yield batch.slice(start)
 
 
+def rows_where(df: DataFrame, text_col: str, accept, most: int) -> DataFrame:
+    """The rows of ``df`` for whose texts ``accept`` (texts to booleans) holds, worked on in slices of ``most`` bytes."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for whole in batches:
+            for batch in byte_slices(whole, at, most):
+                kept = batch.filter(pa.array(accept(batch.column(at)), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(lean(run), df.schema)
+
+
 def is_local(uri: str) -> bool:
     return uri.startswith("file:") or "://" not in uri
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fitted, give_back, lean, mix, range_sums, unit, words_of
+from .common import U64, fitted, lean, mix, range_sums, rows_where, unit, words_of
 
 ORDER = 5
 MAX_CHARS = 1_500_000
@@ -326,14 +326,7 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(lean(run), f"doc_id long, lang_pred string, score double, entropy double, accepted boolean{extra}")
 
 
-def accepts(model: dict, spark):
-    """A column function: whether the language of a text is one of the learnt ones."""
-    packed = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("boolean")
-    def accepted(texts: pa.Array) -> pa.Array:
-        found = pa.array(predict(texts, Scorer(packed.value))[3], pa.bool_())
-        give_back()
-        return found
-
-    return accepted
+def keep_known(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose texts are in one of the learnt languages."""
+    packed = df.sparkSession.sparkContext.broadcast(model)
+    return rows_where(df, text_col, lambda texts: predict(texts, Scorer(packed.value))[3], CHARS_AT_ONCE)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, byte_slices, fitted, give_back, lean, mix, range_sums, sums, words_of
+from .common import U64, Words, byte_slices, fitted, lean, mix, range_sums, rows_where, sums, words_of
 
 BITS = 18
 MAX_ROWS = 1500
@@ -255,19 +255,14 @@ def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, mi
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_score") >= threshold))
 
 
-def keeps(model: dict, spark, threshold: float = THRESHOLD, min_words: int = MIN_WORDS):
-    """A column function: the verdict on a text."""
-    packed = spark.sparkContext.broadcast(model)
+def keep_good(df: DataFrame, model: dict, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose texts pass the base rules and the classifier."""
+    packed = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("boolean")
-    def kept(texts: pa.Array) -> pa.Array:
-        own, found = packed.value, [np.zeros(0, bool)]
-        for batch in byte_slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, SLICE):
-            words = words_of(batch.column(0))
-            score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
-            failed = (words.counts < min_words) | (100 * repeated_words(words) > 50 * words.counts)
-            found.append(~failed & (score >= threshold))
-        give_back()
-        return pa.array(np.concatenate(found), pa.bool_())
+    def good(texts: pa.Array) -> np.ndarray:
+        own, words = packed.value, words_of(texts)
+        score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
+        failed = (words.counts < min_words) | (100 * repeated_words(words) > 50 * words.counts)
+        return ~failed & (score >= threshold)
 
-    return kept
+    return rows_where(df, text_col, good, SLICE)
