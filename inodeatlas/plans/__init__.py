@@ -18,6 +18,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, tuple]:
-    from . import accuracy, changes, counting, sketches, snapshot, streams, trees  # noqa: F401
+    from . import accuracy, changes, counting, sketches, snapshot, streams, trees, written  # noqa: F401
 
     return REGISTRY

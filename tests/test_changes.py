@@ -363,6 +363,39 @@ def test_stream_equals_replay(spark, tmp_path, profile, poll, every, reduce):
     assert as_rows(out, profile) == want_rows(events, profile, reduce, every)
 
 
+@pytest.mark.parametrize("profile", ["inotify", "fid"])
+def test_reads_do_not_grow_with_the_state(spark, tmp_path, profile):
+    """The same micro-batch against a state of 60 and of 600 directories opens as many rows."""
+    opened, fed = [], []
+    for size in (60, 600):
+        folder = str(tmp_path / f"{profile}{size}")
+        handle = follow_namespace(spark, profile, folder, reduce=False, poll_size=None, compact_every=1, rows_per_bucket=40)
+        rows = []
+        for d in range(size):
+            if profile == "inotify":
+                rows.append(("d%d" % d, None, "d%d" % d, "/d%d" % d, True))
+                rows += [("%d" % (10_000 + 3 * d + i), "d%d" % d, f"x{i}", None, False) for i in range(3)]
+            else:
+                rows.append((f"d{d}", None, f"d{d}", f"/d{d}", True))
+                rows += [(f"f{d}_{i}", f"d{d}", f"x{i}", None, False) for i in range(3)]
+        if profile == "inotify":  # inodes are numbers
+            rows = [(f[1:] if f.startswith("d") else f, p[1:] if p else None, n, a, is_dir) for f, p, n, a, is_dir in rows]
+        state = spark.createDataFrame([(f, p, n, a, is_dir, 1, 1, 1, 1, "p", 1, 1, True, True) for f, p, n, a, is_dir in rows], handle.table.read(0).schema)
+        handle.table.write(2, state)  # a base
+        if profile == "inotify":
+            batch = [path_event(0, "IN_CREATE", 90_000, "/d7/new"), path_event(1, "IN_MOVED_TO", 9, "/d3/moved", is_dir=True), path_event(2, "IN_MOVED_TO", 10_000 + 12, "/d5/x1")]
+        else:
+            batch = [fid_event(0, "01CREAT", "new", "d7", "new"), fid_event(1, "08RENME", NULL_FID, "d3", "moved", source="d9", old="r"), fid_event(2, "06UNLNK", "f4_0", "d4", "x0")]
+        handle(frame(spark, batch, profile).drop("batch_id"), 2)
+        opened.append(handle.rows_read)
+        fed.append(sorted(tuple(r) for r in spark.read.parquet(f"{folder}/changes/4").select("op", "fid", "path").collect()))
+    assert fed[0] == fed[1] and ("update", "new" if profile == "fid" else "90000", "/d7/new") in fed[0]
+    assert any(p == "/d3/moved/x2" for _, _, p in fed[0])
+    if profile == "inotify":  # what stood in the way
+        assert ("delete", str(10_000 + 3 * 5 + 1), "/d5/x1") in fed[0]
+    assert 0 < opened[1] < 1.5 * opened[0] + 200 < 600 * 4
+
+
 def test_flush_waits_for_its_last_poll(spark, tmp_path):
     """A deletion in the next micro-batch takes back what the flush would have told."""
     handle = follow_namespace(spark, "inotify", str(tmp_path), poll_size=2, flush_every=2)
