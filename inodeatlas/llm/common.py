@@ -254,6 +254,41 @@ def range_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
+
+
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float | None = None) -> tuple[float, float]:
+    """Slope (``least`` at least) and shift that calibrate the scores ``x`` of labels ``y``: smoothed targets, damped Newton steps."""
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    weight = weight * (len(y) / weight.sum())
+
+    def loss(a, b):
+        z = a * x + b
+        return np.sum(weight * (np.logaddexp(0, z) - target * z))
+
+    a, b = 1.0, 0.0
+    now = loss(a, b)
+    for _ in range(100):
+        p = sigmoid(a * x + b)
+        g = np.array([np.sum(weight * (p - target) * x), np.sum(weight * (p - target))])
+        q = weight * p * (1 - p)
+        hess = np.array([[np.sum(q * x * x), np.sum(q * x)], [np.sum(q * x), np.sum(q)]]) + 1e-6 * np.eye(2)
+        move, share = np.linalg.solve(hess, g), 1.0
+        while share > 1e-8 and not loss(a - share * move[0], b - share * move[1]) <= now:
+            share /= 2
+        if share <= 1e-8 or np.abs(move).max() < 1e-10:
+            break
+        a, b = a - share * move[0], b - share * move[1]
+        now = loss(a, b)
+    if least is not None and a < least:  # the scores say nothing, or the contrary, of the held-back rows
+        a = least
+        for _ in range(50):
+            p = sigmoid(a * x + b)
+            b -= float(np.clip(np.sum(weight * (p - target)) / max(np.sum(weight * p * (1 - p)), 1e-9), -1, 1))
+    return float(a), float(b)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

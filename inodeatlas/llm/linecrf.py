@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_slices, fitted, lean, mix, range_sums, words_of
+from .common import U64, byte_slices, fitted, lean, mix, platt, range_sums, sigmoid, words_of
 
 BITS = 14
 MAX_ROWS = 1500
@@ -263,10 +263,6 @@ def gradient(lines: Lines, label: np.ndarray, weight: np.ndarray, model: dict) -
     return out
 
 
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
-
-
 def _logit(p):
     p = np.clip(p, 1e-9, 1 - 1e-9)
     return np.log(p / (1 - p))
@@ -294,7 +290,9 @@ def fit(lines: Lines, label: np.ndarray, class_sizes: tuple[int, int], rounds: i
             seen[k] = seen[k] + g**2
             model[k] = model[k] + rate * g / np.sqrt(seen[k])
     rest = np.flatnonzero(held) if held.any() else np.arange(len(label))
-    model["a"], model["b"] = _calibrated(_logit(text_quality(_some(lines, rest), model)), label[rest].astype(np.float64), class_sizes)
+    y = label[rest].astype(np.float64)
+    weight = np.where(y == 1, class_sizes[1] / y.sum(), class_sizes[0] / (1 - y).sum())
+    model["a"], model["b"] = platt(_logit(text_quality(_some(lines, rest), model)), y, weight, least=1e-3)
     return model
 
 
@@ -310,23 +308,6 @@ def _some(lines: Lines, texts: np.ndarray) -> Lines:
     return Lines(starts, lines.chars[line], lines.bins[line], word_starts, lines.slots[token])
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, class_sizes: tuple[int, int]) -> tuple[float, float]:
-    """Slope and shift of the log-odds ``x`` (Platt, smoothed targets)."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, class_sizes[1] / n1, class_sizes[0] / n0)
-    weight = weight * len(y) / weight.sum()
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * x + b)
-        g = np.array([np.sum(weight * (p - target) * x), np.sum(weight * (p - target))])
-        q = weight * p * (1 - p)
-        hess = np.array([[np.sum(q * x * x), np.sum(q * x)], [np.sum(q * x), np.sum(q)]]) + 1e-3 * np.eye(2)
-        move = np.clip(np.linalg.solve(hess, g), -1, 1)
-        a, b = max(a - move[0], 1e-3), b - move[1]
-    return float(a), float(b)
-
-
 def train(documents: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> dict:
     """The field fitted on labelled rows of ``documents`` where ``learn`` holds for their doc_id."""
     marked = (
@@ -367,7 +348,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, max_rows: int
 
 
 def score_texts(texts: pa.Array, model: dict) -> np.ndarray:
-    return _sigmoid(model["a"] * _logit(text_quality(line_features(texts), model)) + model["b"])
+    return sigmoid(model["a"] * _logit(text_quality(line_features(texts), model)) + model["b"])
 
 
 def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, byte_slices, fitted, lean, mix, range_sums, rows_where, sums, words_of
+from .common import U64, Words, byte_slices, fitted, lean, mix, platt, range_sums, rows_where, sigmoid, sums, words_of
 
 BITS = 18
 MAX_ROWS = 1500
@@ -89,10 +89,6 @@ def raw_scores(words: Words, weights: np.ndarray, bias: float) -> np.ndarray:
     return bias + total / np.maximum(words.counts, 1)
 
 
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
-
-
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.5, decay: float = 1e-5) -> dict:
     """Weights, bias and calibration from (label, slots, values) rows; classes weigh the same."""
     labels = np.array([r[0] for r in rows], dtype=np.float64)
@@ -120,7 +116,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rate:
     for _ in range(rounds):  # AdaGrad over all rows
         gradient, error_sum = decay * w, 0.0
         for own, at, slots, values in chunks(~held):
-            p = _sigmoid(bias + np.bincount(at, values * w[slots], minlength=own.stop - own.start))
+            p = sigmoid(bias + np.bincount(at, values * w[slots], minlength=own.stop - own.start))
             error = (p - y[own]) * share[own]
             gradient += np.bincount(slots, error[at] * values, minlength=len(w))
             error_sum += error.sum()
@@ -136,17 +132,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rate:
     x = np.full(len(y), bias)
     for own, at, slots, values in chunks(held):
         x[own] += np.bincount(at, out["weights"][slots] * values, minlength=own.stop - own.start)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    a, b = 1.0, 0.0
-    for _ in range(30):
-        p = _sigmoid(a * x + b)
-        g = np.array([np.sum(weight * (p - target) * x), np.sum(weight * (p - target))])
-        q = weight * p * (1 - p)
-        hess = np.array([[np.sum(q * x * x), np.sum(q * x)], [np.sum(q * x), np.sum(q)]]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hess, g)
-        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
-    out["a"], out["b"] = float(a), float(b)
+    out["a"], out["b"] = platt(x, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()))
     return out
 
 
@@ -242,7 +228,7 @@ def score_documents(df: DataFrame, model: dict, threshold: float = THRESHOLD, mi
             for batch in byte_slices(whole, 1, SLICE):
                 texts = batch.column(1)
                 words = words_of(texts)
-                score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
+                score = sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
                 columns = [pa.array(c, pa.int64()) for c in statistics(texts, words)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *columns, pa.array(score, pa.float64()), *batch.columns[2:]],
@@ -261,7 +247,7 @@ def keep_good(df: DataFrame, model: dict, threshold: float = THRESHOLD, min_word
 
     def good(texts: pa.Array) -> np.ndarray:
         own, words = packed.value, words_of(texts)
-        score = _sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
+        score = sigmoid(own["a"] * raw_scores(words, own["weights"], own["bias"]) + own["b"])
         failed = (words.counts < min_words) | (100 * repeated_words(words) > 50 * words.counts)
         return ~failed & (score >= threshold)
 
