@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, folder_of, is_local, lean, local_path, partitions, shared_folder
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_500_000
 CACHE_CHARS = 40
 SLICE = 8_000_000
 FILE_BYTES = 256_000_000  # of text, in a file
@@ -89,6 +89,8 @@ class Encoder:
     def __init__(self, path: str):
         self.coder = _tokenizer(path)
         self.dtype = np.dtype("<u2") if self.coder.get_vocab_size() <= 65536 else np.dtype("<u4")
+        # in a byte-level vocabulary each byte is a letter
+        self.letters = np.array([len(self.coder.id_to_token(i) or "") for i in range(self.coder.get_vocab_size())], np.int64)
         self._clear()
 
     def _clear(self):
@@ -99,14 +101,35 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i : i + 20_000]
-            for piece, ids in zip(some, self.raw(some)):
-                self.place[piece] = len(self.at)
-                self.at.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+    def _put(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add pieces whose ids follow each other in ``ids``."""
+        ends = np.cumsum(sizes)
+        self.place.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces))))
+        self.at.frombytes((len(self.flat) + ends - sizes).astype(np.int64).tobytes())
+        self.size.frombytes(sizes.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(self.dtype).tobytes())
+
+    def _learn(self, pieces: list[str], lengths: np.ndarray) -> None:
+        """Encode new pieces; ``lengths`` are their bytes.
+
+        Pieces that begin with a blank, with other characters than white space on both sides of it, are encoded as
+        one text: no id reaches over their borders, and ids stand for as many bytes as they have letters in
+        the vocabulary, so the borders are found again.
+        """
+        joins = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in pieces), bool, len(pieces))
+        for together in (True, False):
+            own = np.flatnonzero(joins == together)
+            for i in range(0, len(own), 20_000):
+                some, size = [pieces[k] for k in own[i : i + 20_000].tolist()], lengths[own[i : i + 20_000]]
+                if together:
+                    ids = np.array(self.raw(["".join(some)])[0], np.int64)
+                    held, ends = np.cumsum(self.letters[ids]), np.cumsum(size)
+                    last = np.searchsorted(held, ends)
+                    if last[-1] < len(held) and (held[last] == ends).all():
+                        self._put(some, ids, np.diff(last + 1, prepend=0))
+                        continue
+                each = self.raw(some)
+                self._put(some, np.array([x for ids in each for x in ids], np.int64), np.array([len(ids) for ids in each], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each; null is empty."""
@@ -126,7 +149,9 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        self._learn([p for p in names if p not in self.place])
+        new = [i for i, p in enumerate(names) if p not in self.place]
+        if new:
+            self._learn([names[i] for i in new], np.asarray(pc.binary_length(coded.dictionary)).astype(np.int64)[new])
         slot = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
         index = slot[np.asarray(coded.indices)] if len(names) else slot
         size, at = (np.frombuffer(x, np.int64)[index] if len(index) else index for x in (self.size, self.at))
