@@ -1,6 +1,7 @@
 """The package reaches the workers of a session that starts somewhere else."""
 
 import os
+import re
 import subprocess
 import sys
 
@@ -38,3 +39,21 @@ def test_from_another_folder(tmp_path):
         [sys.executable, "-c", PROGRAM, str(tmp_path / "checkpoints")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
     )
     assert "ROWS" in done.stdout, done.stderr[:3000] + "\n ... \n" + done.stderr[-1500:]
+
+
+def test_without_the_training_data_package(monkeypatch, capsys):
+    """A missing folder, or a library that only its operators need, leaves all other queries."""
+    import __spark_entry__ as entry
+
+    plain = entry.importlib.import_module
+
+    def refuse(name, *rest):
+        if name.startswith(("inodeatlas.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(f"No module named {name!r}")
+        return plain(name, *rest)
+
+    whole = set(entry.queries())
+    monkeypatch.setattr(entry.importlib, "import_module", refuse)
+    left = set(entry.queries())
+    assert left and whole - left == {n for n in whole if re.match(r"op\d+_|pipeline$", n)}
+    assert set(entry.oracle_sql()) <= left and "left out" in capsys.readouterr().err
