@@ -195,3 +195,17 @@ def test_worker_rollup(spark):
     stated = df.groupBy("kind", "name").agg(F.sum("count").alias("count"))
     odd = counts.complete_keys(bare, stated, ["kind", "name"]).collect()
     assert [(r.name, r.expected) for r in odd] == [("9", None)]
+
+
+@pytest.mark.parametrize("name", ["quantiles_kll_bounds", "quantiles_td_bounds", "quantiles_req_bounds"])
+def test_bounds_are_told_for_every_key(spark, name):
+    from __spark_entry__ import oracle_sql, queries
+    from inodeatlas.operators.dimensions import explode_dimensions
+    from inodeatlas.plans.tables import files
+
+    sf = "/root/testdata/sf0.001"
+    assert "DISTINCT" not in oracle_sql()[name]
+    got = queries()[name](spark, sf).collect()
+    keys = explode_dimensions(files(spark, sf)).groupBy("kind", "name").count().collect()
+    assert sorted((r["kind"], r["name"], r["n"]) for r in got) == sorted(tuple(r) for r in keys)
+    assert all(r["within"] for r in got)
