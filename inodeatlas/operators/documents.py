@@ -95,9 +95,10 @@ def receipts_to_report(receipts: DataFrame, column: str = "value", order: str |
     return report_from_documents(docs)
 
 
-def receipt_totals(receipts: DataFrame, column: str = "value") -> DataFrame:
-    """Documents and bytes over all receipts, read from their messages."""
+def receipt_totals(receipts: DataFrame, column: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """Documents and bytes over all receipts, read from their messages; with ``by``, also the receipts of each group."""
     msg = F.from_json(F.col(column), RECEIPT)["msg"]
     pattern = r"ingested (\d+) docs \((\d+) bytes"
     part = lambda i: F.regexp_extract(msg, pattern, i).try_cast("long")
-    return receipts.agg(F.sum(part(1)).alias("documents"), F.sum(part(2)).alias("bytes"))
+    told = [F.sum(part(1)).alias("documents"), F.sum(part(2)).alias("bytes")]
+    return receipts.groupBy(*by).agg(F.count("*").alias("receipts"), *told) if by else receipts.agg(*told)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -163,12 +164,11 @@ def _refuse(request: dict) -> dict:
 def totals_of_receipts(spark, sf_dir):
     """Every file's document as a request of its own; a service refuses some, and their receipts say why."""
     packed = pack_documents(document_text(primary_documents(files(spark, sf_dir), ["g1"])), 1)
-    receipts = cut_lineage(write_documents(packed, _refuse))
-    told = receipts.select("value", F.from_json("value", "succeed boolean, resp string").alias("r")).select("value", "r.succeed", F.from_json("r.resp", "type string, message string").alias("f"))
-    kinds = told.select("succeed", F.col("f.type").alias("type"), F.col("f.message").alias("message"), "value")
-    good, bad = (receipt_totals(kinds.filter(F.col("succeed") == ok)).select(F.lit(ok).alias("succeed"), "documents") for ok in (True, False))
-    counted = kinds.groupBy("succeed", "type", "message").agg(F.count("*").alias("receipts"))
-    return counted.join(good.unionByName(bad), "succeed").select("succeed", "type", "message", "receipts", "documents")
+    # read once: a second look would send again
+    told = write_documents(packed, _refuse).select("value", F.from_json("value", "succeed boolean, resp string").alias("r")).select("value", "r.succeed", F.from_json("r.resp", "type string, message string").alias("f"))
+    kinds = receipt_totals(told.select("succeed", F.col("f.type").alias("type"), F.col("f.message").alias("message"), "value"), by=("succeed", "type", "message"))
+    documents = F.sum("documents").over(Window.partitionBy("succeed"))
+    return kinds.filter("succeed is not null").select("succeed", "type", "message", "receipts", documents.alias("documents"))
 
 
 ENTRIES = ["type", *INTEGER_COLUMNS, "path"]

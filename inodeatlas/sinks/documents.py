@@ -18,6 +18,8 @@ TOLD = (
     "lane long, batch long, documents long, bytes long, single string, answer string, "
     "fault struct<type: string, message: string, traceback: array<string>>"
 )
+# What is told goes to Spark together, up to so many rows or characters.
+TOLD_ROWS, TOLD_CHARS = 1000, 4 << 20
 
 
 def failure_record() -> Column:
@@ -80,12 +82,18 @@ def write_documents(
             (lane, batch), documents = rows[0][:2], [r[2] for r in rows]
             answer, fault = (None, None) if sender is None else call(documents)
             single = documents[0] if sender is None and len(documents) == 1 else None
-            values = (lane, batch, len(rows), sum(r[3] for r in rows), single, answer, fault)
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, values))], schema=schema)
+            return dict(zip(schema.names, (lane, batch, len(rows), sum(r[3] for r in rows), single, answer, fault)))
 
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lane", "batch", "document", "bytes"))))
+        held, size = [], 0
         for _, own in itertools.groupby(rows, key=lambda r: r[:2]):
-            yield told(list(own))  # a batch is bounded by its bytes
+            held.append(told(list(own)))  # a batch is bounded by its bytes
+            size += len(held[-1]["single"] or "") + len(held[-1]["answer"] or "")
+            if len(held) >= TOLD_ROWS or size >= TOLD_CHARS:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     sent = packed.mapInArrow(send, TOLD)
     return sent.select("lane", "batch", "documents", "bytes", receipt(sender is None, list_type).alias("value"))

@@ -201,3 +201,20 @@ def test_failed_batches_are_receipts(spark):
     assert json.loads(values[0]["resp"])["message"] == "too many"
     totals = receipt_totals(documents.write_documents(packed)).collect()[0]
     assert totals.documents == 4 and totals["bytes"] == sum(len(json.dumps({"n": "x" * n})) for n in [3, 4, 5, 1])
+
+
+def test_receipts_are_totalled_by_group_in_one_reading(spark):
+    from inodeatlas.operators.documents import receipt_totals
+    from inodeatlas.operators.packing import pack_documents
+    from inodeatlas.sinks import documents
+
+    def sender(request):
+        if request["ingest_data"]["gmeta"][0]["n"] % 10 == 3:
+            raise ValueError("refused")
+        return {"acknowledged": True}
+
+    calls = spark.range(2500).select(F.col("id").cast("string").alias("subject"), F.to_json(F.struct(F.col("id").alias("n"))).alias("document"))
+    receipts = documents.write_documents(pack_documents(calls, 1), sender)
+    told = receipts.select("value", F.get_json_object("value", "$.succeed").alias("succeed"))
+    got = {r["succeed"]: (r["receipts"], r["documents"]) for r in receipt_totals(told, by=["succeed"]).collect()}
+    assert got == {"true": (2250, 2250), "false": (250, 250)}
