@@ -51,3 +51,17 @@ def test_checkpoints_go_to_the_configured_folder(spark):
     cut = cut_lineage(spark.range(3))
     assert "Scan ExistingRDD" in plan(cut)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_line_items_meet_the_joined_tables_once(spark):
+    from inodeatlas.plans.tables import files
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        text = plan(files(spark, SF).select("uid", "size", "path"))
+    finally:
+        spark.conf.set(key, before)
+    joins = [line for line in text.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 4 and "l_orderkey" in joins[0]
