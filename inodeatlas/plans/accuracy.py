@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accuracy, dd
-from ..operators.dimensions import long_metrics
-from ..operators.ranks import cumulative, frequencies, key_frequencies, positions, rank_values
+from ..operators.dimensions import explode_dimensions, long_metrics
+from ..operators.ranks import cumulative, frequencies, positions, rank_values
 from ..schemas import METRICS, QUANTILES
 from . import query
 from .snapshot import DD_SQL
@@ -64,10 +64,10 @@ errors AS (
 def _errors(spark, sf_dir):
     inv = files(spark, sf_dir)
     kind = F.when(F.col("kind") == "user", "uid").otherwise("gid").alias("typ")
-    freq = key_frequencies(inv, ("usr", "grp")).select(kind, F.col("name").alias("id"), "metric", "value", "cnt")
+    rows = explode_dimensions(inv, ("usr", "grp"), keep=METRICS).select(kind, F.col("name").alias("id"), *METRICS)
     report = dd.dd_report(inv, ("usr", "grp"))
     approx = accuracy.stack_labeled({"dd": report}, "run").select(kind, F.col("name").alias("id"), "metric", "run", *QUANTILES)
-    return accuracy.rank_errors(freq, approx)
+    return accuracy.row_errors(rows, approx)
 
 
 @query(

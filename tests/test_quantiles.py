@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inodeatlas.operators import accuracy, arrow_sketches, counts, dd, packing, ranks
-from inodeatlas.operators.dimensions import explode_dimensions, spread_to_ancestors
+from inodeatlas.operators.dimensions import explode_dimensions, long_metrics, spread_to_ancestors
 from inodeatlas.operators.documents import aggregate_documents, receipts_to_report
 from inodeatlas.operators.quantiles import quantile_report
 from inodeatlas.schemas import INVENTORY, METRICS, QUANTILES
@@ -209,3 +209,33 @@ def test_bounds_are_told_for_every_key(spark, name):
     keys = explode_dimensions(files(spark, sf)).groupBy("kind", "name").count().collect()
     assert sorted((r["kind"], r["name"], r["n"]) for r in got) == sorted(tuple(r) for r in keys)
     assert all(r["within"] for r in got)
+
+
+def _odd_rows(spark):
+    rows = [("u", str(i % 4), *[None if (i + k) % 5 == 0 else (i * 37 + k) % 11 - 5 + k * (1 << 40) for k in range(4)]) for i in range(90)]
+    rows += [("u", "none", None, None, None, None), ("g", "one", 1, -(1 << 62), 3, 1 << 62), ("g", "one", 1, 2, None, 4)]
+    return spark.createDataFrame(rows * 2, "kind string, name string, size long, atime long, ctime long, mtime long")
+
+
+def test_lists_and_counted_values_give_the_same_quantiles(spark):
+    rows, keys = _odd_rows(spark), ["kind", "name"]
+    lists = ranks.list_quantiles(ranks.sorted_lists(rows, keys, METRICS), keys)
+    freq = ranks.frequencies(long_metrics(rows, METRICS, keys), [*keys, "metric"])
+    counted = ranks.exact_quantiles(ranks.cumulative(freq, [*keys, "metric"]), [*keys, "metric"])
+    assert lists.columns == counted.columns
+    assert sorted(map(tuple, lists.collect()), key=repr) == sorted(map(tuple, counted.collect()), key=repr)
+    small, large = ranks.split_by_size(rows, keys, 10)
+    assert {r["name"] for r in small.collect()} == {"none", "one"} and small.count() + large.count() == rows.count()
+
+
+def test_rank_errors_of_rows_and_of_counted_values(spark, monkeypatch):
+    rows = _odd_rows(spark).withColumnsRenamed({"kind": "typ", "name": "id"})
+    keys = ["typ", "id", "metric"]
+    freq = ranks.frequencies(long_metrics(rows, METRICS, ["typ", "id"]), keys)
+    near = ranks.positions(ranks.cumulative(freq, keys), keys).withColumn("p50", F.col("p50") + 3).withColumn("p90", F.lit(None).cast("long"))
+    approx = accuracy.stack_labeled({"a": near, "b": near.withColumn("p10", F.col("p10") - 1)}, "run")
+    want = sorted(map(tuple, accuracy.rank_errors(freq, approx).collect()), key=repr)
+    for most in (0, 20, 1 << 15):  # all large, some, none
+        monkeypatch.setattr(accuracy, "split_by_size", lambda df, by, most=most: ranks.split_by_size(df, by, most))
+        got = accuracy.row_errors(rows, approx)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
