@@ -54,3 +54,21 @@ def test_keys_are_given_up(spark, tmp_path, timeout):
         assert [tuple(r) for r in spark.table(query.name).collect()] == [("user", "a", 1, 5, 6, 3, False)]
     finally:
         query.stop()
+
+
+def test_keys_share_a_row_of_state(spark, tmp_path):
+    inbox = tmp_path / "in"
+    big = 2**60 + 1  # beyond what a float holds
+    write(spark, inbox, 0, [("user", "a", 1, big, None), ("user", "b", 1, None, big), ("user", None, 1, 4, 4)])
+    write(spark, inbox, 1, [("user", "a", 1, None, None), ("user", "b", 1, 3, None), ("user", "c", 1, 0, 0)])
+    expected = spark.createDataFrame([("user", "a", 2), ("user", "b", 3), ("user", "c", 2)], "kind string, name string, count long")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(inbox))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    with state_store(spark):
+        query = start(spark, stream, expected, tmp_path, buckets=1).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["name"], r["count"], r.size_min, r.size_max, r.expected, r.complete) for r in spark.table(query.name).collect()}
+    assert got == {(None, 1, 4, 4, None, False), ("a", 2, big, None, 2, True)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert held == [1, 1]  # a and b, then b and c, in one bucket
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
