@@ -131,3 +131,27 @@ def test_errors_and_codes(spark):
 
 def test_base64(spark):
     assert values(spark, text.base64_binary(text.base64_text(F.col("v").cast("binary"))), ["abc"]) == [b"abc"]
+
+
+def test_deepest_prefix_of_odd_paths(spark):
+    def plain(path, lo, hi):
+        parts = ("/" + path.strip("/")).split("/")
+        level = min(len(parts) - 2, hi - 1)
+        return None if level < lo else "/" if level <= 0 else "/".join(parts[: level + 1])
+
+    odd = ["", "/", "//", "a", "/a", "a/b", "/a/b/", "//a//b", "/a//", "/é/ü/x", "/ / /x", "/a/b/c/d/e/f", "a/b//c"]
+    spans = [(lo, hi) for lo in range(-1, 5) for hi in range(1, 7)]
+    df = spark.createDataFrame([(p,) for p in odd], "p string")
+    row_of = df.select("p", *[paths.deepest_prefix("p", lo, hi).alias(f"s{i}") for i, (lo, hi) in enumerate(spans)])
+    for row in row_of.collect():
+        assert [row[f"s{i}"] for i in range(len(spans))] == [plain(row.p, lo, hi) for lo, hi in spans], row.p
+
+
+def test_fan_out_makes_each_name_once(spark):
+    from inodeatlas.operators.dimensions import explode_dimensions
+
+    inv = spark.createDataFrame([(1, None, "/a/b/c"), (None, 2, "x")], "uid long, gid long, path string")
+    rows = explode_dimensions(inv, deepest=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isnotnull(") <= 1  # of the name that comes out, not of each that goes in
+    assert sorted(map(tuple, rows.collect())) == [("group", "2"), ("prefix", "/a/b"), ("user", "1")]
