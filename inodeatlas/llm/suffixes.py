@@ -354,14 +354,16 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, span: int = SPAN, id_col
     )
     joined = rows.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_m0") == F.col("mark")) & (F.col("_m1") == F.col("mark2")), "left")
 
-    @F.pandas_udf("string")
-    def cut(texts, cuts):
-        import pandas as pd
-
-        return pd.Series([t if c is None or t is None else cut_text(t, np.frombuffer(c, "<i4").reshape(-1, 2)) for t, c in zip(texts, cuts)])
-
-    new = joined.select("_row", F.col("cuts").isNotNull().alias("_changed"), cut(F.col(f"_row.{text_col}").cast("string"), "cuts").alias("_new"))
-    new = new.filter(~F.col("_changed") | (F.length("_new") > 0))
+    # pandas stays out of the workers, and texts that keep all their words stay out of Python
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), cuts.to_pylist())
+        return pa.array([None if t is None or c is None else cut_text(t, np.frombuffer(c, "<i4").reshape(-1, 2)) for t, c in pairs], pa.string())
+
+    whole, changed = F.col(f"_row.`{text_col}`").cast("string"), F.col("cuts").isNotNull()
+    # as if it were not deterministic: the filter below it would else cut every text a second time
+    new = joined.select("_row", changed.alias("_changed"), cut.asNondeterministic()(F.when(changed, whole), "cuts").alias("_cut"))
+    new = new.filter(~F.col("_changed") | (F.length("_cut") > 0)).withColumn("_new", F.when(F.col("_changed"), F.col("_cut")).otherwise(whole))
     columns = []
     for c, kind in df.dtypes:
         value = F.col(f"_row.`{c}`")

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from inodeatlas.llm import linecrf, manyqueries, middle
+from inodeatlas.llm import linecrf, manyqueries, middle, suffixes
 from inodeatlas.llm.common import crc_mod
 from pyspark.sql import functions as F
 
@@ -261,3 +261,12 @@ def test_sample_of_the_field_is_bounded(spark):
     model = linecrf.train(docs, labels, F.lit(True), max_rows=40)
     got = linecrf.score_documents(docs, model).collect()
     assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_texts_are_cut_once(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"first {passage} end"), (2, f"other {passage} tail"), (3, "nothing that repeats"), (4, None), (5, passage)]
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size_col=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # a second cuts every text again, for the filter
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "other  tail", 3: rows[2][1], 4: None}
