@@ -206,6 +206,31 @@ def test_rounds_of_collisions_shrink(spark):
     assert rounds[0] == 63 and len(rounds) > 2 and max(rounds[1:]) <= 33 and rounds[-1] < rounds[1], rounds
 
 
+def test_long_chains_of_collisions_are_settled_in_slices(spark, monkeypatch):
+    """Many objects on few paths: a chain as long as the log takes three rounds, and slices of 16 rows."""
+    rng, events = random.Random(7), []
+    for i in range(30):
+        events.append(path_event(len(events), "IN_CREATE", i + 1, f"/p{i}"))
+    for i in range(29):  # whether a rename holds depends on the one before it, and so on
+        events.append(path_event(len(events), "IN_MOVED_TO", i + 1, f"/p{i + 1}", batch=1))
+    for _ in range(150):
+        kind = rng.choice(("IN_CREATE", "IN_MOVED_TO", "IN_MOVED_TO", "IN_DELETE"))
+        events.append(path_event(len(events), kind, rng.randrange(40) + 1, f"/p{rng.randrange(4)}", batch=len(events) // 40))
+    events = [{**e, **dict.fromkeys(("atime", "ctime", "mtime", "uid", "gid"), 0), "permissions": "p"} for e in events]
+    ev = reduction.reduce_events(frame(spark, events, "inotify"), "inotify", False)
+    settle, calls = namespace.collisions.removals, []
+
+    def in_small_slices(placed, prior):
+        calls.append(1)
+        return settle(placed, prior, 16)
+
+    monkeypatch.setattr(namespace.collisions, "removals", in_small_slices)
+    rounds = []
+    _, out = namespace.apply_events(namespace.empty_state(spark), ev, "inotify", rounds=rounds)
+    assert as_rows(out, "inotify") == want_rows(events, "inotify", False)
+    assert len(rounds) == 3 and calls == [1], rounds
+
+
 def test_poll_batches_and_types(spark):
     df = spark.createDataFrame([(0, "IN_OPEN"), (9999, "IN_CREATE"), (10000, "IN_OPEN")], "eid long, event_type string")
     assert [r.batch_id for r in poll_batches(df).orderBy("eid").collect()] == [0, 0, 1]
