@@ -231,6 +231,14 @@ def test_long_chains_of_collisions_are_settled_in_slices(spark, monkeypatch):
     assert len(rounds) == 3 and calls == [1], rounds
 
 
+def test_keys_of_few_rows_need_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scans, "FEW_ROWS", 5)
+    even = spark.range(10).select((F.col("id") % 2).alias("k"), F.lit(None).cast("string").alias("none"))
+    assert not scans.is_few(even)
+    assert scans.is_few(even, F.col("k"), F.col("none"))
+    assert not scans.is_few(even.union(even.limit(1)), F.col("none"), F.col("k"))
+
+
 def test_poll_batches_and_types(spark):
     df = spark.createDataFrame([(0, "IN_OPEN"), (9999, "IN_CREATE"), (10000, "IN_OPEN")], "eid long, event_type string")
     assert [r.batch_id for r in poll_batches(df).orderBy("eid").collect()] == [0, 0, 1]
