@@ -442,6 +442,18 @@ def test_flush_waits_for_its_last_poll(spark, tmp_path):
     assert [(r.flush, r.op, r.fid, r.path) for r in out.collect()] == [(0, "update", "8", "/b")]
 
 
+def test_small_micro_batches_are_not_compiled(spark, tmp_path, monkeypatch):
+    key, seen = "spark.sql.codegen.wholeStage", []
+    before = spark.conf.get(key)
+    handle = follow_namespace(spark, "inotify", str(tmp_path), reduce=False, poll_size=2)
+    monkeypatch.setattr(handle, "_apply", lambda rows, step: seen.append(spark.conf.get(key)))
+    batch = frame(spark, [path_event(i, "IN_CREATE", i, f"/a{i}") for i in range(3)], "inotify").drop("batch_id")
+    handle(batch, 0)
+    monkeypatch.setattr("inodeatlas.streaming.follow.SMALL_BATCH", 2)
+    handle(batch.withColumn("eid", F.col("eid") + 3), 1)
+    assert seen == ["false", before] and spark.conf.get(key) == before
+
+
 def test_stream_of_ignored_events_and_repeated_batch(spark, tmp_path):
     handle = follow_namespace(spark, "inotify", str(tmp_path), ignore="IN_OPEN")
     opened = frame(spark, [path_event(0, "IN_OPEN", 7, "/a")], "inotify").drop("batch_id")
