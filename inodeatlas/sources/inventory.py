@@ -189,9 +189,10 @@ def normalize_entries(entries: DataFrame, prefix: str, suffix: str) -> DataFrame
     name = F.when(F.col("name").isNull() | (F.col("name") == ""), "null").otherwise(F.col("name"))
     folder = paths.strip_affixes("db_path", prefix, suffix)
     numbers = [text.strict_long(F.col(c).cast("string")).alias(c) for c in INTEGER_COLUMNS]
-    out = entries.select(
-        "type", *numbers, F.concat(folder, F.lit("/"), name).alias("path"), folder.alias("_folder")
-    )
+    # above a generator, so that a filter on ``reject`` does not read the numbers again
+    cells = F.struct("type", *numbers, name.alias("_name"), folder.alias("_folder"))
+    out = entries.select(F.explode(F.array(cells)).alias("_cells")).select("_cells.*")
+    out = out.select("type", *INTEGER_COLUMNS, F.concat("_folder", F.lit("/"), "_name").alias("path"), "_folder")
     missing = F.col("type").isNull()
     for c in INTEGER_COLUMNS:
         missing = missing | F.col(c).isNull()

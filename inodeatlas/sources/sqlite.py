@@ -15,21 +15,54 @@ ENTRY_COLUMNS = ("name", "type", "mode", "uid", "gid", "size", "atime", "ctime",
 SCHEMA = "db_path string, " + ", ".join(f"{c} string" for c in ENTRY_COLUMNS) + ", error string"
 
 
+BATCH_ROWS = 10_000
+
+
+def as_texts(values: list):
+    """Values of a database column as an Arrow array of texts, as ``str`` writes them."""
+    import pyarrow as pa
+
+    try:
+        column = pa.array(values)
+        if pa.types.is_string(column.type) or pa.types.is_int64(column.type) or pa.types.is_null(column.type):
+            return column.cast(pa.string())
+    except pa.ArrowException:  # of several types
+        pass
+    return pa.array([None if v is None else str(v) for v in values], pa.string())
+
+
 def read_entries(db_path: str):
-    """Rows of the ``entries`` table of one file, streamed; a bad file gives one error row."""
+    """Arrow batches of the ``entries`` table of one file, streamed; a bad file gives one error row."""
     import os
     import sqlite3
 
+    import pyarrow as pa
+
+    names = ["db_path", *ENTRY_COLUMNS, "error"]
+
+    def batch(rows, error=None):
+        columns = [as_texts(list(c)) for c in zip(*rows)]
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(db_path), len(rows)), *columns, pa.array([error] * len(rows), pa.string())], names)
+
+    nothing = [(None,) * len(ENTRY_COLUMNS)]
     if not os.path.exists(db_path):
-        yield (db_path, *[None] * len(ENTRY_COLUMNS), "missing file")
+        yield batch(nothing, "missing file")
         return
+    rows = []
     try:
         with sqlite3.connect(f"file:{db_path}?mode=ro", uri=True) as connection:
             columns = ", ".join(f'"{c}"' for c in ENTRY_COLUMNS)
             for row in connection.execute(f"SELECT {columns} FROM entries"):
-                yield (db_path, *[None if v is None else str(v) for v in row], None)
+                rows.append(row)
+                if len(rows) == BATCH_ROWS:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
     except sqlite3.Error as exc:
-        yield (db_path, *[None] * len(ENTRY_COLUMNS), str(exc))
+        if rows:
+            yield batch(rows)
+        yield batch(nothing, str(exc))
 
 
 class SliceOfFiles(InputPartition):
@@ -80,23 +113,9 @@ def read_listed(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     """Scan the files of a listing of any length; the names never visit the driver."""
 
     def scan(batches):
-        import pyarrow as pa
-
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                rows = []
-                for row in read_entries(path):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pydict(
-                            {n: pa.array(v, pa.string()) for n, v in zip(names, zip(*rows))}
-                        )
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pydict(
-                        {n: pa.array(v, pa.string()) for n, v in zip(names, zip(*rows))}
-                    )
+                yield from read_entries(path)
 
     # a fixed number of tasks: the names are few bytes, and would be merged into one task
     tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))

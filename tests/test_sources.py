@@ -218,3 +218,31 @@ def test_receipts_are_totalled_by_group_in_one_reading(spark):
     told = receipts.select("value", F.get_json_object("value", "$.succeed").alias("succeed"))
     got = {r["succeed"]: (r["receipts"], r["documents"]) for r in receipt_totals(told, by=["succeed"]).collect()}
     assert got == {"true": (2250, 2250), "false": (250, 250)}
+
+
+def test_databases_are_written_anew_and_read_in_batches(spark, tmp_path):
+    from inodeatlas.plans import written
+
+    rows = [("/d%d" % (i % 3), None if i == 4 else f"n{i}", "f", 33188, i, None if i == 5 else 0, 10 * i, 1, 2, 3) for i in range(12)]
+    inv = spark.createDataFrame(rows, "folder string, name string, type string, mode long, uid long, gid long, size long, atime long, ctime long, mtime long")
+    for _ in range(2):  # as by a second attempt of each task
+        listed = [r.value for r in written._write_databases(inv, str(tmp_path)).collect()]
+    assert sorted(listed) == [f"{tmp_path}/d{i}/db.sqlite,1" for i in range(3)]
+    back = [tuple(r.values()) for i in range(3) for b in sqlite.read_entries(f"{tmp_path}/d{i}/db.sqlite") for r in b.to_pylist()]
+    told = [(f"{tmp_path}{f}/db.sqlite", *[None if v is None else str(v) for v in rest], None) for f, *rest in rows]
+    assert sorted(back, key=str) == sorted(told, key=str)
+    # columns of any types read as ``str`` writes each value
+    odd = [1, 2.0, None, "x", b"y", 2**62, 1e20]
+    with sqlite3.connect(tmp_path / "odd") as con:
+        con.execute("CREATE TABLE entries (name, type, mode, uid, gid, size, atime, ctime, mtime)")
+        con.executemany("INSERT INTO entries VALUES (?, ?, ?, ?, 1.0, ?, NULL, 'a', 7)", [(v, i, v, 0.5, 2 - i) for i, v in enumerate(odd)])
+    got = [list(r.values())[1:] for b in sqlite.read_entries(str(tmp_path / "odd")) for r in b.to_pylist()]
+    assert got == [[None if v is None else str(v), str(i), None if v is None else str(v), "0.5", "1.0", str(2 - i), None, "a", "7", None] for i, v in enumerate(odd)]
+
+
+def test_numbers_of_entries_are_read_once(spark):
+    entries = spark.createDataFrame([("/in/a/db", "n", "f", *"1234567", None)], sqlite.SCHEMA)
+    good = inventory.normalize_entries(entries, "/in", "/db").filter("reject is null")
+    assert [tuple(r) for r in good.collect()] == [("f", 1, 2, 3, 4, 5, 6, 7, "/a/n", None)]
+    text = good._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("trim(") == 7
