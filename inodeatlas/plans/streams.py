@@ -63,10 +63,13 @@ def _date_files(spark, folder: str) -> None:
             store.setTimes(file, 1_000_000_000_000 + 1000 * int(part.group(1)), -1)
 
 
-def _micro_batches(spark, rows, size: int, folder: str, tasks: int = 4):
-    """Rows as a stream whose micro-batches are ``size`` record ids, written and read by ``tasks`` tasks each."""
+def _micro_batches(spark, rows, size: int, folder: str, tasks: int = 4, unit: int = 1):
+    """Rows as a stream whose micro-batches are ``size`` record ids, written and read by ``tasks`` tasks each.
+
+    A task's file holds whole groups of ``unit`` record ids.
+    """
     part = F.floor(F.col("eid") / size)
-    share = F.pmod(F.col("eid"), F.lit(tasks))
+    share = F.pmod(F.floor(F.col("eid") / unit), F.lit(tasks))
     parts = rows.withColumn("part", part).withColumn("share", share).repartition("part", "share").sortWithinPartitions("part", "share")
     parts.write.partitionBy("part", "share").parquet(folder)
     _date_files(spark, folder)

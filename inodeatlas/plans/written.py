@@ -238,16 +238,26 @@ def database_export(spark, sf_dir):
     return writers.read_export(spark, f"{root}/out", f"{root}/progress", schema)
 
 
+MOST_BATCHES = 25  # before micro-batches grow,
+MOST_TIMES = 64  # to so many times their size at most
+
+
 @query(
     "stream_pass_through",
     f"""WITH {GPFS_SQL}, ev AS (SELECT batch_id, CAST(inode AS VARCHAR) AS slot, eid, event_type FROM gpfs), {GPFS_FOLD}
     SELECT batch_id, slot, eid, event_type FROM reduced""",
 )
 def stream_pass_through(spark, sf_dir):
-    """The reduced feed without state, from micro-batches of whole polls through the JSON sink."""
+    """The reduced feed without state, from micro-batches of whole polls through the JSON sink.
+
+    A long log has micro-batches of more files, of the same size, up to a bound: each micro-batch has a cost of its own.
+    """
     folder = _folder(spark)
     rows = gpfs_rows(table(spark, sf_dir, "events")).drop("batch_id")
-    stream = _micro_batches(spark, rows, 5 * 8 * POLL_SIZE, f"{folder}/log")
+    size = 5 * 8 * POLL_SIZE
+    times = -(-rows.select(F.floor(F.col("eid") / size)).distinct().count() // MOST_BATCHES)
+    times = max(1, min(times, MOST_TIMES))
+    stream = _micro_batches(spark, rows, size * times, f"{folder}/log", 4 * times, POLL_SIZE)
     run_to_end(stream, pass_through_stream("inotify", "json", poll_size=POLL_SIZE, path=f"{folder}/out"), f"{folder}/checkpoint")
     return spark.read.schema("batch_id long, slot string, eid long, event_type string").json(f"{folder}/out")
 

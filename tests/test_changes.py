@@ -572,3 +572,22 @@ def test_children_in_long_form(spark):
     state, _ = changes(spark, events, "inotify")
     assert sorted(tuple(r) for r in namespace.state_children(state).collect()) == [("1", str(i)) for i in range(2, 7)]
     assert "children" not in namespace.state_snapshot(state, lists=False).columns
+
+
+def test_a_long_log_passes_through_in_few_micro_batches(spark, tmp_path, monkeypatch):
+    from inodeatlas.plans import written
+
+    monkeypatch.setattr(written, "POLL_SIZE", 10)
+    numbers = []
+    plain = written.pass_through_stream
+    monkeypatch.setattr(written, "pass_through_stream", lambda *a, **k: (lambda h: lambda b, n: (numbers.append(n), h(b, n)))(plain(*a, **k)))
+    kinds = ("signup", "view", "click", "error", "purchase")
+    rows = [(i, i % 7, kinds[i * i % 11 % 5], float(i), '{"k": %d}' % (i % 3)) for i in range(11_000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    told = written.stream_pass_through(spark, str(tmp_path))
+    batches = run.poll_batches(written.gpfs_rows(spark.read.parquet(str(tmp_path / "events.parquet"))), 10)
+    whole = reduction.reduce_events(batches, "inotify").select("batch_id", "slot", "eid", "event_type")
+    told = sorted(tuple(r) for r in told.collect())
+    assert told and told == sorted(tuple(r) for r in whole.collect())
+    assert 1 < len(numbers) <= 25
