@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schemas import METRICS, QUANTILES
 from .aggregate import LOW_BITS, LOW_MASK, joined_sum
-from .dimensions import DIMS, explode_dimensions, long_metrics, spread_to_ancestors
+from .dimensions import DIMS, long_metrics, sized_rows, together
 
 ALPHA = 0.01
 # Positive buckets start above this number, negative ones mirror them below zero.
@@ -70,16 +70,20 @@ def merge_buckets(tables: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def sized_buckets(
+    inv: DataFrame, dims: Sequence[str] = DIMS, lo: int = 1, hi: int = 5, alpha: float = ALPHA
+) -> tuple[DataFrame, DataFrame]:
+    """Bucket tables of small keys, whose rows are brought together first, and of large ones, combined in the mapper."""
+    small, large = sized_rows(inv, dims, lo, hi)
+    return tuple(bucket_table(long_metrics(rows, METRICS, ["kind", "name"]), ["kind", "name", "metric"], alpha) for rows in (together(small), large))
+
+
 def key_buckets(
     inv: DataFrame, dims: Sequence[str] = DIMS, lo: int = 1, hi: int = 5, alpha: float = ALPHA
 ) -> DataFrame:
-    """Bucket tables of all keys and metrics; directories rolled up from the deepest level."""
-    keys = ["kind", "name", "metric"]
-    rows = explode_dimensions(inv, dims, lo, hi, deepest=True, keep=METRICS)
-    first = bucket_table(long_metrics(rows, METRICS, ["kind", "name"]), keys, alpha)
-    if "dir" not in dims:
-        return first
-    return merge_buckets(spread_to_ancestors(first, lo, hi), keys)
+    """Bucket tables of all keys and metrics."""
+    small, large = sized_buckets(inv, dims, lo, hi, alpha)
+    return small.unionByName(large)
 
 
 def dd_quantiles(
@@ -125,4 +129,5 @@ def dd_quantiles(
 def dd_report(
     inv: DataFrame, dims: Sequence[str] = DIMS, lo: int = 1, hi: int = 5, alpha: float = ALPHA
 ) -> DataFrame:
-    return dd_quantiles(key_buckets(inv, dims, lo, hi, alpha), alpha=alpha)
+    small, large = sized_buckets(inv, dims, lo, hi, alpha)
+    return dd_quantiles(small, alpha=alpha).unionByName(dd_quantiles(large, alpha=alpha))

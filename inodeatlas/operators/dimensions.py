@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..schemas import KINDS
+from ..schemas import KINDS, METRICS
 from ..session import stored
 
 DIMS = ("usr", "grp", "dir")
@@ -92,3 +92,28 @@ def large_keys(rows: DataFrame, keys: Sequence[str], most: int = HELD) -> DataFr
     """The keys with more than ``most`` rows, stored: at most one for each ``most`` rows."""
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
     return stored(counted.filter(F.col("_rows") > most).select(*keys))
+
+
+def sized_rows(
+    inv: DataFrame, dims: Sequence[str] = DIMS, lo: int = 1, hi: int = 5, most: int = HELD
+) -> tuple[DataFrame, DataFrame]:
+    """Rows ``kind, name, *METRICS`` of all keys with up to ``most`` rows, and those of larger keys.
+
+    Rows of a small key are best brought together as they are: partial results of each task would be larger than
+    the rows. Those of the large keys, which are few, are best folded before they leave a task. The files are kept
+    without the names that no key needs, and read again from there.
+    """
+    dims = wanted_dims(dims)
+    columns = [c for d, c in (("usr", "uid"), ("grp", "gid")) if d in dims]
+    if "dir" in dims:
+        # any name below the deepest directory has the same keys
+        columns.append(F.concat(paths.deepest_prefix("path", lo, hi), F.lit("/-")).alias("path"))
+    kept = stored(inv.select(*columns, *METRICS), "zstd")
+    rows = explode_dimensions(kept, dims, lo, hi, keep=METRICS)
+    large = large_keys(rows, ["kind", "name"], most)
+    return rows.join(large, ["kind", "name"], "left_anti"), rows.join(large, ["kind", "name"], "left_semi")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """Rows with those of a key in one task; for keys of bounded size."""
+    return rows.repartition("kind", "name")
