@@ -1,12 +1,14 @@
 import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inodeatlas.operators import accuracy, arrow_sketches, counts, dd, packing, ranks
-from inodeatlas.operators.dimensions import explode_dimensions, long_metrics, spread_to_ancestors
+from inodeatlas.operators import accuracy, arrow_sketches, counts, dd, kll, packing, ranks
+from inodeatlas.operators.dimensions import DIMS, explode_dimensions, long_metrics, sized_rows, spread_to_ancestors
 from inodeatlas.operators.documents import aggregate_documents, receipts_to_report
 from inodeatlas.operators.quantiles import quantile_report
 from inodeatlas.schemas import INVENTORY, METRICS, QUANTILES
@@ -239,3 +241,57 @@ def test_rank_errors_of_rows_and_of_counted_values(spark, monkeypatch):
         monkeypatch.setattr(accuracy, "split_by_size", lambda df, by, most=most: ranks.split_by_size(df, by, most))
         got = accuracy.row_errors(rows, approx)
         assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+MODULES = {"dd": dd, "kll": kll, "td": arrow_sketches, "req": arrow_sketches}
+
+
+@pytest.mark.parametrize("mode", sorted(MODULES))
+def test_reports_of_small_and_large_keys(inventory, monkeypatch, mode):
+    """Rows of small keys are shuffled as they are; wherever the bound lies, exact facts are the same and the law is kept."""
+    facts, keys = ["kind", "name", "metric", "count", "min", "max", "mean"], ["kind", "name"]
+    told = []
+    for most in (0, 60, 1 << 15):  # all large, some, none
+        monkeypatch.setattr(MODULES[mode], "sized_rows", lambda inv, dims, lo, hi, most=most: sized_rows(inv, dims, lo, hi, most))
+        report = quantile_report(inventory, mode, ("usr", "dir"), 0, 4)
+        assert re.search(r"Exchange hashpartitioning\(kind#\d+, name#\d+, \d+\), REPARTITION", report._jdf.queryExecution().executedPlan().toString())
+        told.append(sorted(map(tuple, report.select(*facts, *(QUANTILES if mode == "dd" else [])).collect())))
+        if mode != "dd":
+            rows = explode_dimensions(inventory, ("usr", "dir"), 0, 4, keep=METRICS)
+            kept = accuracy.rank_excess(rows, report, keys, mode, keep=facts[3:])
+            assert sorted(map(tuple, kept.select(*facts).collect())) == told[-1]
+            assert accuracy.outside_law(kept, []).first().outside == 0
+    assert told[0] == told[1] == told[2] and len(told[0]) == 4 * (40 + 42 + 40)
+
+
+def test_keys_of_kept_rows_are_those_of_the_files(spark):
+    paths_ = ["/f", "/a/f", "/a//f", "//a/b/f", "/a/b/c/d/e/f", "a/f", "", None, "/a/b/"]
+    inv = spark.createDataFrame([("f", 1, i % 2, None, i, i, i, i, None, p) for i, p in enumerate(paths_)], INVENTORY)
+    for lo, hi in ((0, 4), (1, 5), (2, 4), (0, 1)):
+        small, large = sized_rows(inv, DIMS, lo, hi, 2)
+        deep = spread_to_ancestors(explode_dimensions(inv, DIMS, lo, hi, deepest=True, keep=METRICS), lo, hi)
+        assert sorted(map(tuple, small.unionByName(large).collect())) == sorted(map(tuple, deep.collect()))
+
+
+def test_whole_folds_cut_between_keys(monkeypatch):
+    monkeypatch.setattr(arrow_sketches, "ROWS_AT_ONCE", 4)
+    names = [n for n, times in (("a", 3), ("b", 9), ("c", 1), ("d", 2)) for _ in range(times)]
+    table = pa.table({"kind": ["user"] * 15, "name": names, **{m: list(range(15)) for m in METRICS}})
+    out = [r for b in arrow_sketches._partial_fold("req", whole=True)(table.to_batches(max_chunksize=2)) for r in b.to_pylist()]
+    assert sorted((r["name"], r["metric"], r["n"], r["low"]) for r in out) == [(n, m, t, a) for n, t, a in (("a", 3, 0), ("b", 9, 3), ("c", 1, 12), ("d", 2, 13)) for m in range(4)]
+
+
+def test_stored_tables_leave_no_shuffle(spark):
+    from inodeatlas.session import stored
+
+    def shuffles():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files, found = manager.getAllFiles(), 0
+        for i in range(files.size()):
+            found += "shuffle" in files.apply(i).getName()
+        return found
+
+    before = shuffles()
+    kept = stored(spark.range(1000).repartition(3, "id"))
+    assert shuffles() <= before
+    assert kept.count() == 1000
