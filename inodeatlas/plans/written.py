@@ -24,7 +24,7 @@ from . import query
 from .changes import GPFS_FOLD
 from .counting import WORKER_SQL, _bucketed, _long_worker
 from .snapshot import DD_SQL, INVENTORY_COLUMNS
-from .streams import POLL_SIZE, _micro_batches
+from .streams import POLL_SIZE, _micro_batches, _times
 from .tables import FILES_SQL, GPFS_SQL, KEYS_SQL, files, gpfs_events, gpfs_rows, table
 
 
@@ -238,10 +238,6 @@ def database_export(spark, sf_dir):
     return writers.read_export(spark, f"{root}/out", f"{root}/progress", schema)
 
 
-MOST_BATCHES = 25  # before micro-batches grow,
-MOST_TIMES = 64  # to so many times their size at most
-
-
 @query(
     "stream_pass_through",
     f"""WITH {GPFS_SQL}, ev AS (SELECT batch_id, CAST(inode AS VARCHAR) AS slot, eid, event_type FROM gpfs), {GPFS_FOLD}
@@ -255,8 +251,7 @@ def stream_pass_through(spark, sf_dir):
     folder = _folder(spark)
     rows = gpfs_rows(table(spark, sf_dir, "events")).drop("batch_id")
     size = 5 * 8 * POLL_SIZE
-    times = -(-rows.select(F.floor(F.col("eid") / size)).distinct().count() // MOST_BATCHES)
-    times = max(1, min(times, MOST_TIMES))
+    times = _times(rows.select(F.floor(F.col("eid") / size)).distinct().count())
     stream = _micro_batches(spark, rows, size * times, f"{folder}/log", 4 * times, POLL_SIZE)
     run_to_end(stream, pass_through_stream("inotify", "json", poll_size=POLL_SIZE, path=f"{folder}/out"), f"{folder}/checkpoint")
     return spark.read.schema("batch_id long, slot string, eid long, event_type string").json(f"{folder}/out")

@@ -591,3 +591,20 @@ def test_a_long_log_passes_through_in_few_micro_batches(spark, tmp_path, monkeyp
     told = sorted(tuple(r) for r in told.collect())
     assert told and told == sorted(tuple(r) for r in whole.collect())
     assert 1 < len(numbers) <= 25
+
+
+@pytest.mark.parametrize("name", ["namespace_feed", "complete_keys"])
+def test_long_streams_have_few_micro_batches(spark, monkeypatch, name):
+    from pyspark.sql import streaming
+
+    from inodeatlas.plans import streams
+
+    started = []
+    plain = streaming.DataStreamWriter.start
+    monkeypatch.setattr(streaming.DataStreamWriter, "start", lambda *a, **k: started.append(plain(*a, **k)) or started[-1])
+    monkeypatch.setattr(streams, "POLL_SIZE", 10)  # 1000 events, 6000 files
+    monkeypatch.setattr(streams, "BATCH_POLLS", 2)
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    monkeypatch.setattr(streams, "MOST_BATCHES", 4)
+    assert getattr(streams, name)(spark, "/root/testdata/sf0.001").count()
+    assert 1 < len({p["batchId"] for p in started[0].recentProgress if p["numInputRows"]}) <= 5
